@@ -1,11 +1,52 @@
-"""A corpus pipeline: each stage works on all rows that its predecessor kept."""
+"""A corpus pipeline over documents: toxicity, line dedup, near duplicates, mixing, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm import line_dedup, mixing, ngram_join, packing, toxicity
+from quarry.llm.common import materialise
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of the training fold, doesn't reject."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with one occurrence of each group of alike lines; those left without text go."""
+    return line_dedup.dedup_lines(docs)
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.one_of_each_group(docs, 5, 4, 5)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mixture takes of each document, repeats as further rows."""
+    return mixing.mixed_texts(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed in windows of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_per_group),
+    ("mixing sources to target weights", mixture),
+    ("packing", packed),
+]
+#: SQL expresses neither the classifier nor SimHash; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each result is written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

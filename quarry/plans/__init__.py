@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("relational", "series", "models")
 
 
 def _gather(name: str) -> dict:

@@ -169,7 +169,11 @@ ENTITIES = {
 
 def entities(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, entity) found by the patterns, once each per document."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), lambda e, k=k: F.struct(F.lit(k).alias("kind"), e.alias("entity"))) for k, p in ENTITIES.items())))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("entity")))
+
+    found = F.flatten(F.array(*(of(k, p) for k, p in ENTITIES.items())))
     return docs.select(key, F.explode(F.array_distinct(found)).alias("e")).select(key, "e.*")
 
 

@@ -38,6 +38,10 @@ def postings(docs: DataFrame, key: str, array: Column) -> DataFrame:
     return docs.select(key, F.posexplode(array).alias("pos", "term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _occurrences(array: str, term: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == term))
+
+
 def _idf(n: Column, df: Column, kind: str) -> Column:
     if kind == "pipeline":
         return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(0.0))
@@ -58,7 +62,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
     average = float(int(stats["avg"])) if kind == "pipeline" else float(stats["avg"])
     parts = []
     for i, t in enumerate(terms):
-        tf = F.size(F.filter("toks", lambda x, t=t: x == t))
+        tf = _occurrences("toks", t)
         idf = _idf(F.lit(float(stats["n"])), F.lit(float(stats[f"df{i}"])), kind)
         gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / max(average, 1e-9)))
         parts.append(F.when(tf > 0, idf * (gain + delta)).otherwise(0.0))
@@ -74,7 +78,7 @@ def bm25_fields(docs: DataFrame, key: str, fields: dict[str, float], query: list
     stats = toks.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.size(f"t_{f}")).alias(f"a_{f}") for f in fields), *(F.count_if(anywhere(t)).alias(f"df{i}") for i, t in enumerate(terms))).first()
     parts = []
     for i, t in enumerate(terms):
-        tf = reduce(Column.__add__, (w * F.size(F.filter(f"t_{f}", lambda x, t=t: x == t)) / (1 - b + b * F.size(f"t_{f}") / max(float(stats[f"a_{f}"] or 0), 1e-9)) for f, w in fields.items()))
+        tf = reduce(Column.__add__, (w * _occurrences(f"t_{f}", t) / (1 - b + b * F.size(f"t_{f}") / max(float(stats[f"a_{f}"] or 0), 1e-9)) for f, w in fields.items()))
         parts.append(F.when(tf > 0, _idf(F.lit(float(stats["n"])), F.lit(float(stats[f"df{i}"])), "standard") * tf * (k1 + 1) / (tf + k1)).otherwise(0.0))
     return toks.where(reduce(Column.__or__, map(anywhere, terms))).select(key, reduce(Column.__add__, parts).alias("score"))
 

@@ -14,11 +14,11 @@ from quarry.streaming import run
 from quarry.streaming import windows as win
 
 S = Suite()
-TOKENS = "list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '')"
+TOKENS = "[w FOR w IN string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') IF w <> '']"
 
 # Streams
-S.op("stream_tumbling", lambda t: run.drain(win.stream_windows(run.table_stream(t.spark, t.sf_dir, "events"), "ts", "1 day"), "complete").select("window_start", "window_end", "value_count", F.round("value_sum", 2).alias("value_sum")), "SELECT epoch_ms(ts) - epoch_ms(ts) % 86400000 AS window_start, window_start + 86400000 AS window_end, count(*) AS value_count, round(sum(value), 2) AS value_sum FROM events GROUP BY ALL")
-S.op("stream_sliding", lambda t: run.drain(win.stream_windows(run.table_stream(t.spark, t.sf_dir, "events"), "ts", "12 hours", "6 hours"), "complete").select("window_start", "value_count"), "SELECT w AS window_start, count(*) AS value_count FROM (SELECT unnest([epoch_ms(ts) - epoch_ms(ts) % 21600000, epoch_ms(ts) - epoch_ms(ts) % 21600000 - 21600000]) AS w FROM events) GROUP BY w")
+S.op("stream_tumbling", lambda t: run.drain(win.stream_windows(run.table_stream(t.spark, t.sf_dir, "events"), "ts", "1 day"), "complete").select("window_start", "window_end", "value_count", F.round("value_sum", 2).alias("value_sum")), "SELECT (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 86400000 AS window_start, window_start + 86400000 AS window_end, count(*) AS value_count, round(sum(value), 2) AS value_sum FROM events GROUP BY ALL")
+S.op("stream_sliding", lambda t: run.drain(win.stream_windows(run.table_stream(t.spark, t.sf_dir, "events"), "ts", "12 hours", "6 hours"), "complete").select("window_start", "value_count"), "SELECT w AS window_start, count(*) AS value_count FROM (SELECT unnest([(epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 21600000, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 21600000 - 21600000]) AS w FROM events) GROUP BY w")
 
 
 def _stream_join(t) -> DataFrame:
@@ -38,15 +38,15 @@ def _continuous(t) -> DataFrame:
     return timeseries.merge_states(t.spark.read.parquet(folder), 86_400_000, ["event_type"]).select("event_type", "bucket", "count", F.round("sum", 2).alias("sum"), "max")
 
 
-S.op("continuous_aggregate", _continuous, "SELECT event_type, epoch_ms(ts) - epoch_ms(ts) % 86400000 AS bucket, count(value) AS count, round(sum(value), 2) AS sum, max(value) AS max FROM events GROUP BY ALL")
+S.op("continuous_aggregate", _continuous, "SELECT event_type, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 86400000 AS bucket, count(value) AS count, round(sum(value), 2) AS sum, max(value) AS max FROM events GROUP BY ALL")
 
 # Text
 S.op("tokenize", lambda t: t.documents.select("doc_id", F.size(text.tokens(F.col("text"))).alias("n"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 5), " ").alias("head")), f"SELECT doc_id, CAST(len({TOKENS}) AS INTEGER) AS n, array_to_string(({TOKENS})[1:5], ' ') AS head FROM documents")
-S.op("tokenize_pipeline", lambda t: t.documents.select("doc_id", F.size(text.tokens(F.col("text"), 2)).alias("n")), f"SELECT doc_id, CAST(len(list_filter({TOKENS}, x -> length(x) >= 2)) AS INTEGER) AS n FROM documents")
+S.op("tokenize_pipeline", lambda t: t.documents.select("doc_id", F.size(text.tokens(F.col("text"), 2)).alias("n")), f"SELECT doc_id, CAST(len([x FOR x IN {TOKENS} IF length(x) >= 2]) AS INTEGER) AS n FROM documents")
 S.op("postings", lambda t: text.postings(t.benchmark, "item_id", text.tokens(F.col("text"))).select("item_id", "term", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions")), f"WITH x AS (SELECT item_id, unnest({TOKENS}) AS term, generate_subscripts({TOKENS}, 1) - 1 AS pos FROM benchmark) SELECT item_id, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM x GROUP BY ALL")
 QUERY = ["then", "thering", "with", "idiot"]
 _BM = lambda idf, gain: f"""WITH d AS (SELECT doc_id, {TOKENS} AS toks FROM documents), s AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM d),
-    q AS (SELECT unnest(['then', 'thering', 'with', 'idiot']) AS term), p AS (SELECT doc_id, term, len(list_filter(toks, x -> x = term)) AS tf, len(toks) AS l FROM d, q WHERE list_contains(toks, term)),
+    q AS (SELECT unnest(['then', 'thering', 'with', 'idiot']) AS term), p AS (SELECT doc_id, term, len([x FOR x IN toks IF x = term]) AS tf, len(toks) AS l FROM d, q WHERE list_contains(toks, term)),
     f AS (SELECT term, count(*) AS df FROM p GROUP BY term) SELECT doc_id, round(sum({idf} * {gain}), 4) AS score FROM p JOIN f USING (term), s GROUP BY doc_id"""
 _GAIN = "(tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / a)))"
 _IDF = "ln((n - df + 0.5) / (df + 0.5) + 1)"
@@ -55,7 +55,7 @@ S.op("bm25_plus", lambda t: text.bm25(t.documents, "doc_id", "text", QUERY, delt
 S.op("bm25_pipeline", lambda t: text.bm25(t.documents, "doc_id", "text", QUERY, kind="pipeline").withColumn("score", F.round("score", 4)), _BM("greatest(ln((n - df + 0.5) / (df + 0.5)), 0)", "(tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / floor(a))))"))
 S.op("bm25f_fields", lambda t: text.bm25_fields(t.documents, "doc_id", {"text": 1.0, "source": 2.0}, ["then", "src3"]))
 S.op("full_text_match", lambda t: t.documents.where(text.match(F.col("text"), "Idiot clown moron", 2)).select("doc_id"), f"SELECT doc_id FROM documents WHERE (list_contains({TOKENS}, 'idiot')::INT + list_contains({TOKENS}, 'clown')::INT + list_contains({TOKENS}, 'moron')::INT) >= 2")
-S.op("fuzzy_search", lambda t: t.benchmark.where(text.fuzzy_match(F.col("text"), "there", 1)).select("item_id"), f"SELECT item_id FROM benchmark WHERE len(list_filter({TOKENS}, x -> levenshtein(x, 'there') <= 1)) > 0")
+S.op("fuzzy_search", lambda t: t.benchmark.where(text.fuzzy_match(F.col("text"), "there", 1)).select("item_id"), f"SELECT item_id FROM benchmark WHERE len([x FOR x IN {TOKENS} IF levenshtein(x, 'there') <= 1]) > 0")
 S.op("phrase_search", lambda t: t.documents.where(text.phrase(F.col("text"), ["of", "the"])).select("doc_id"), f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' of the ')")
 S.op("highlight", lambda t: t.benchmark.select("item_id", text.highlight(F.col("text"), ["the", "with"]).alias("marked")), "SELECT item_id, regexp_replace(text, '(?i)\\b(the|with)\\b', '<em>\\1</em>', 'g') AS marked FROM benchmark")
 S.op("text_search_top_k", lambda t: text.top(text.bm25(t.documents, "doc_id", "text", QUERY).withColumn("score", F.round("score", 4)), "doc_id", 10), f"SELECT *, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ({_BM(_IDF, _GAIN)}) ORDER BY score DESC, doc_id LIMIT 10")
@@ -149,9 +149,9 @@ S.op("doc_json_functions", lambda t: t.events.select("event_id", document.json_t
 S.op("doc_deep_path", lambda t: t.events.where("event_id < 500").select("event_id", F.array_join(document.find_all(F.concat(F.lit('{"a": [{"p": '), "props", F.lit("}]}")), "$..k"), ",").alias("k")), "SELECT event_id, props ->> '$.k' AS k FROM events WHERE event_id < 500")
 S.op("doc_partial_update", lambda t: t.events.select("event_id", document.update_json(F.col("props"), "k bigint", [("INCREMENT", "k", F.lit(5)), ("SET", "seen", F.lit(True))]).alias("doc")), """SELECT event_id, '{"k":' || (CAST(props ->> '$.k' AS BIGINT) + 5) || ',"seen":true}' AS doc FROM events""")
 S.op("doc_terms", lambda t: document.terms(t.events, "event_type", 3).withColumn("percent", F.round("percent", 4)), "SELECT event_type AS term, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
-S.op("doc_ranges", lambda t: document.ranges(t.events, "value", [("low", None, 10.0), ("mid", 10.0, 50.0), ("high", 50.0, None)]).select("bucket", "count", F.round("avg", 4).alias("avg")), "SELECT CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'mid' ELSE 'high' END AS bucket, count(*) AS count, round(avg(value), 4) AS avg FROM events GROUP BY 1")
+S.op("doc_ranges", lambda t: document.ranges(t.events, "value", [("low", None, 10.0), ("mid", 10.0, 50.0), ("high", 50.0, None)]).select("bucket", "count", F.round("avg", 8).alias("avg")), "SELECT CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'mid' ELSE 'high' END AS bucket, count(*) AS count, round(avg(value), 8) AS avg FROM events GROUP BY 1")
 S.op("doc_histogram", lambda t: document.histogram(t.events, "value", 20.0), "WITH c AS (SELECT CAST(floor(value / 20) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1) SELECT s.k * 20.0::DOUBLE AS bucket, coalesce(n, 0) AS count FROM (SELECT unnest(generate_series((SELECT min(k) FROM c), (SELECT max(k) FROM c))) AS k) s LEFT JOIN c ON c.k = s.k")
-S.op("doc_stats", lambda t: t.events.groupBy("event_type").agg(*document.stats("value")).select("event_type", "count", "min", "max", *(F.round(c, 4).alias(c) for c in ("avg", "variance", "std", "median"))), "SELECT event_type, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 4) AS avg, round(var_pop(value), 4) AS variance, round(stddev_pop(value), 4) AS std, round(median(value), 4) AS median FROM events GROUP BY 1")
+S.op("doc_stats", lambda t: t.events.groupBy("event_type").agg(*document.stats("value")).select("event_type", "count", "min", "max", *(F.round(c, 8).alias(c) for c in ("avg", "std", "median")), F.round("variance", 6).alias("variance")), "SELECT event_type, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 8) AS avg, round(var_pop(value), 6) AS variance, round(stddev_pop(value), 8) AS std, round(median(value), 8) AS median FROM events GROUP BY 1")
 S.op("doc_percentiles", lambda t: t.events.agg(document.percentiles("value", [25, 50, 99]).alias("p")).select(*(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p99")))), "SELECT round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
 S.op("doc_cardinality", lambda t: t.lineitem.agg(document.cardinality("l_partkey").alias("n")))
 _DAYS = lambda t: t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))

@@ -59,7 +59,7 @@ class _Best:
 
     def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.concatenate([self.scores[i], scores]), np.concatenate([self.ids[i], ids])
-        best = np.lexsort((ids, -scores))[: self.k]
+        best = np.lexsort((ids, ~scores))[: self.k]
         self.scores[i], self.ids[i] = scores[best], ids[best]
 
     def threshold(self, i: int) -> float:

@@ -33,6 +33,7 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 BARRIER = frozenset("table td th caption template html".split())  # end tags and implied ends don't reach past these
+TABLE_PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())  # outside of tables these tags count for nothing
 DEEPEST = 500  # as browsers do, deeper elements become siblings
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -117,6 +118,8 @@ def parse(source: str) -> Element:
             continue
         if tag not in HEAD:
             in_body()
+        if tag in TABLE_PARTS and not any(e.tag == "table" for e in stack):
+            continue
         if tag in CLOSES_P:
             close({"p"}, BARRIER | {"button"})
         if tag in IMPLIED:
@@ -321,7 +324,8 @@ def _table(e: Element, visible: bool, depth: int) -> list[str]:
             start = 0
             for k in columns:
                 cell = row.get(k, ((), 1))[0]
-                line = (line.ljust(start) if len(line) < start or not (i < len(cell)) else line + "  ") + (cell[i] if i < len(cell) else "")
+                own = cell[i] if i < len(cell) else ""
+                line = (line + "  " if own and start and len(line) > start - 2 else line.ljust(start)) + own
                 start += width[k] + 2
             out.append(line.rstrip())
     while out and not out[-1]:

@@ -96,8 +96,9 @@ def update_json(doc: Column, schema: str, changes: list[tuple[str, str, Column |
 
 def terms(df: DataFrame, field: str, size: int = 10, min_doc_count: int = 1) -> DataFrame:
     """(term, count, percent) of the most frequent values; percent of all non-null rows."""
-    counts = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("term")).count()
-    return counts.withColumn("percent", 100.0 * F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0)))).where(F.col("count") >= min_doc_count).orderBy(F.col("count").desc(), "term").limit(size)
+    held = df.where(F.col(field).isNotNull())
+    counts = held.groupBy(F.col(field).alias("term")).count()
+    return counts.withColumn("percent", 100.0 * F.col("count") / max(held.count(), 1)).where(F.col("count") >= min_doc_count).orderBy(F.col("count").desc(), "term").limit(size)
 
 
 def ranges(df: DataFrame, field: str, bounds: list[tuple[str, float | None, float | None]]) -> DataFrame:

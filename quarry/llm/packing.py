@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -110,36 +111,85 @@ def place(pieces: DataFrame, order: list[Column], window: int = WINDOW) -> DataF
     return found.withColumns({"sequence_id": F.expr("_r.seq + (_rank - _r.first) div _r.per"), "offset": F.col("_r.at") + step % F.col("_r.per") * F.col("length")}).drop("_b", "_i", "_o", "_rank", "_runs", "_r")
 
 
-class _Ids(dict):
-    """Ids of a chunk of text without spaces, kept while there is room."""
+class _Ids:
+    """Ids of chunks of text without spaces, kept in two generations of bounded size: chunks that come up again
+    move to the younger one, and the older one goes when that is full."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, room: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def of(self, chunks: list[str]) -> list[bytes]:
-        if len(self) > 300_000:
-            self.clear()
-        if new := [c for c in dict.fromkeys(chunks) if c not in self]:
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-        return list(map(self.__getitem__, chunks))
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters: dict[str, str] = {}
+        self.model = self.tokenizer.model
+        self.signs = dict(zip(".,", self.encoded([".", ","]), strict=True))
+
+    def word(self, c: str) -> bytes | None:
+        """Ids of a lower-case word of plain letters, with a full stop or comma behind it at most.
+
+        Letters are one piece and normal as they stand, so the model can take them at once; None for all else.
+        """
+        tail = b""
+        if c[-1:] in (".", ","):
+            c, tail = c[:-1], self.signs[c[-1]]
+        if not c.isalpha():
+            return None
+        if tail and (ids := self.young.get(c) or self.old.get(c)):
+            return ids + tail
+        if not c.isascii():
+            if max(c) >= "\u0250":
+                return None
+            c = "".join(map(self.letter, c))
+        return array("I", [t.id for t in self.model.tokenize(c)]).tobytes() + tail
+
+    def letter(self, c: str) -> str:
+        """How the model's vocabulary writes a letter's bytes."""
+        if c not in self.letters:
+            self.letters[c] = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0]
+        return self.letters[c]
+
+    def encoded(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def learn(self, chunks: set[str], lowered: bool) -> None:
+        """Put the chunks into the younger generation."""
+        new, old, young = [], self.old, self.young
+        for c in chunks:
+            if c in young:
+                continue
+            if (ids := old.get(c)) is None and lowered:
+                ids = self.word(c)
+            if ids is None:
+                new.append(c)
+            else:
+                young[c] = ids
+        young.update(zip(new, self.encoded(new), strict=True))
+
+    def of(self, text: str) -> bytes:
+        """The tokenizer drops white space and never joins across it, so a text's ids are those of its
+        space-separated chunks in turn. It lower-cases, so capitals need no entries where lower case is plain."""
+        if lowered := text.isascii() or max(text) < "\u0250":
+            text = text.lower()
+        chunks = text.replace("\n", " ").split(" ")
+        if len(self.young) > self.room:
+            self.young, self.old = {}, self.young
+        try:
+            return b"".join(map(self.young.__getitem__, chunks))
+        except KeyError:
+            self.learn(set(chunks), lowered)
+            return b"".join(map(self.young.__getitem__, chunks))
 
 
 _CACHE: dict[str, _Ids] = {}
 
 
 def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    space-separated chunks in turn; a worker keeps the ids of chunks it has met.
-    """
+    """Little-endian unsigned 32-bit ids of each text."""
     ids = _CACHE.get(path) or _CACHE.setdefault(path, _Ids(path))
     for text in texts:
-        yield b"".join(ids.of(text.replace("\n", " ").split(" ")))
+        yield ids.of(text)
 
 
 def tokenised_pieces(docs: DataFrame, path: Callable[[], str], end: int = 2, window: int = WINDOW) -> DataFrame:

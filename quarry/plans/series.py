@@ -31,7 +31,7 @@ S.op("ts_last_n", lambda t: ts.last_n(points(t).select("event_id", "ms"), 5), f"
 S.op("ts_derivative", lambda t: ts.derivative(points(t), by=["user_id"]).select("event_id", (F.round(F.col("derivative") * 1e6, 3) + 0.0).alias("d")), f"SELECT event_id, round(CASE WHEN dt = 0 THEN 0 ELSE dv / dt END * 1e6, 3) + 0.0 AS d FROM (SELECT event_id, ms - lag(ms) OVER w AS dt, value - lag(value) OVER w AS dv FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY ms, value))")
 S.op("ts_rate", lambda t: ts.rate(points(t), by=["user_id"]).select("event_id", F.round(F.col("rate") * 1e6, 3).alias("r")), f"SELECT event_id, round(CASE WHEN dt = 0 THEN 0 WHEN dt IS NULL THEN NULL ELSE greatest(dv / dt, 0) END * 1e6, 3) AS r FROM (SELECT event_id, ms - lag(ms) OVER w AS dt, value - lag(value) OVER w AS dv FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY ms, value))")
 S.op("ts_histogram", lambda t: ts.histogram(points(t), 25.0, 0.0, 500.0, cumulative=True), f"SELECT CAST(b AS INTEGER) AS bucket, b * 25.0::DOUBLE AS low, (b + 1) * 25.0::DOUBLE AS high, CAST(sum(coalesce(n, 0)) OVER (ORDER BY b) AS BIGINT) AS count FROM range(20) r(b) LEFT JOIN (SELECT least(floor(value / 25.0), 19) AS k, count(*) AS n FROM {E} WHERE value >= 0 GROUP BY 1) ON k = b")
-S.op("ts_buckets", lambda t: ts.buckets(points(t), 8).select("bucket", "count", "first_ms", F.round("midpoint", 4).alias("midpoint")), f"WITH m AS (SELECT min(value) AS a, (max(value) - min(value)) / 8 AS w FROM events) SELECT CAST(least(floor((value - a) / w), 7) AS INTEGER) AS bucket, count(*) AS count, min(ms) AS first_ms, round(any_value(a) + (bucket + 0.5) * any_value(w), 4) AS midpoint FROM {E}, m GROUP BY bucket")
+S.op("ts_buckets", lambda t: ts.buckets(points(t), 8).select("bucket", "count", "first_ms", F.round("midpoint", 8).alias("midpoint")), f"WITH m AS (SELECT min(value) AS a, (max(value) - min(value)) / 8 AS w FROM events) SELECT CAST(least(floor((value - a) / w), 7) AS INTEGER) AS bucket, count(*) AS count, min(ms) AS first_ms, round(any_value(a) + (bucket + 0.5) * any_value(w), 8) AS midpoint FROM {E}, m GROUP BY bucket")
 for how in ("sum", "min", "max", "count", "first", "last"):
     duck = {"first": "arg_min(value, ms)", "last": "arg_max(value, ms)"}.get(how, f"{how}(value)")
     S.op(f"ts_downsample_{how}", lambda t, how=how: ts.aggregate(points(t), HOUR, how).withColumn("value", F.round("value", 2)), f"SELECT ms - ms % {HOUR} AS bucket, round({duck}, 2) AS value FROM {E} GROUP BY ALL")

@@ -95,9 +95,9 @@ def compare(pairs: DataFrame, near: float = 0.3, far: float = 0.8, retries: int
     whose sets are empty isn't returned.
     """
     spark = pairs.sparkSession
-    pairs = pairs.repartition(partitions(spark), "rid")
     done, left, fingerprints = None, pairs, None
     for seed in range(retries):
+        left = left.repartition(partitions(spark), "rid")
         cells = peel(_sketched(_sized(left, near * 2**seed, far * 2**seed), seed), seed)
         text = lambda kind: F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "count", "key", "check")))), lambda e: F.concat_ws(":", e["pos"], e["count"], F.hex(e["key"]), F.hex(e["check"]))))
         alone = lambda kind, sign: F.count_if((F.col("kind") == kind) & (F.col("pos") == -1) & (F.col("count") == sign))
@@ -112,7 +112,7 @@ def compare(pairs: DataFrame, near: float = 0.3, far: float = 0.8, retries: int
         failed = tried.where("stuck > 0").select("rid")
         if failed.isEmpty():
             return done
-        left = pairs.join(failed, "rid", "left_semi").repartition(partitions(spark), "rid")
+        left = pairs.join(failed, "rid", "left_semi")
     less = lambda x, y: F.size(F.array_except(x, y)).cast("long")
     rest = left.select("rid", less("a", "b").alias("a_b"), less("b", "a").alias("b_a"), less("a", "n").alias("a_n"), less("n", "a").alias("n_a"))
     return done.unionByName(rest.join(fingerprints, "rid"))
@@ -148,19 +148,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result. Texts are shuffled once, heads of texts once more.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    slim = keyed.select("doc_id", "h", F.length("text").cast("long").alias("n")).distinct()
-    placed = materialise(running_totals(slim, [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("n")], []))
+    own = F.col("doc_id").cast("long")
+    # An id as two columns that are never null, so that grouping and joins share one partitioning.
+    keyed = docs.select(F.coalesce(own, F.lit(0)).alias("k"), own.isNotNull().alias("some"), text.alias("text"), F.xxhash64(text).alias("h"))
+    slim = keyed.select("some", "k", "h", F.length("text").cast("long").alias("n")).distinct()
+    placed = materialise(running_totals(slim, [F.col("some"), F.col("k"), F.col("h"), F.col("n")], []))
     total = placed.count()
-    owner = placed.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), "n", F.expr(f"(pos + 1) % {max(total, 1)}L").alias("pos"))
-    wanted = materialise(placed.select("doc_id", "h", "pos").join(owner, "pos").drop("pos"))
-
-    def on(x: DataFrame, y: DataFrame) -> Column:
-        return x["doc_id"].eqNullSafe(y["doc_id"]) & (x["h"] == y["h"])
-
-    heads = keyed.join(wanted, on(keyed, wanted)).select("o_id", "o_h", "n", F.expr("substring(text, 1, cast(n div 4 as int))").alias("head"), digests(F.col("text")).alias("next")).dropDuplicates(["o_id", "o_h"])
-    heads = heads.withColumnsRenamed({"o_id": "doc_id", "o_h": "h"})
-    both = keyed.join(heads, on(keyed, heads)).select(keyed["doc_id"], "n", "text", "next", F.concat(F.expr("substring(text, 1, cast(n - n div 4 as int))"), "head").alias("edited"))
+    owner = placed.select(F.col("some").alias("o_some"), F.col("k").alias("o_k"), F.col("h").alias("o_h"), "n", F.expr(f"(pos + 1) % {max(total, 1)}L").alias("pos"))
+    wanted = materialise(placed.select("some", "k", "h", "pos").join(owner, "pos").drop("pos"))
+    heads = keyed.join(wanted, ["k", "some", "h"]).select(F.col("o_k").alias("k"), F.col("o_some").alias("some"), F.col("o_h").alias("h"), "n", F.expr("substring(text, 1, cast(n div 4 as int))").alias("head"), digests(F.col("text")).alias("next"))
+    both = keyed.join(heads.dropDuplicates(["k", "some", "h"]), ["k", "some", "h"])
+    both = both.select(F.when(F.col("some"), F.col("k")).alias("doc_id"), "n", "text", "next", F.concat(F.expr("substring(text, 1, cast(n - n div 4 as int))"), "head").alias("edited"))
     known = both.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("n").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), F.col("next").alias("n"))
     known = materialise(known)
     release(placed, wanted)

@@ -29,15 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDER[app]
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write a table into the shared folder and read it back: it cuts lineage, survives the loss of
-    executors, and frees the shuffle files that were needed to make it."""
+    executors, and frees the shuffle files that were needed to make it. Tables of texts take less room by zstd."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     try:
         spark.conf.set(_CLEANUP, "true")
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -8,47 +8,45 @@ little further. Pairs that meet are verified by edit similarity; connected group
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import connected_components, materialise, release
 
 BLOCKS = 4
-LANES = 3  # counters of 21 bits in a long: lines of up to two million words
-LONG_TEXT = 1000  # code points above which edit similarity counts words, not characters
-
-
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
+LANES = 21  # bits of a counter, three to a long
+HASHES = 2  # 64-bit hashes of a word, of which 63 bits count
+MOST_WORDS = (1 << (LANES - 2)) - 1  # a longer line's counters could overflow: it is matched exactly only
+LEAST_LETTERS = 4  # shorter words are too common to tell lines apart
+LEAST_WORDS = 6  # lines with fewer longer words share their bits with too many others
+LONG_TEXT = 300  # code points above which edit similarity counts words, not characters
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, th, line_no, norm) of every line; th is xxhash64 of the text, which tells repeated ids apart."""
-    split = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.select("doc_id", "th", "line_no", normalised(F.col("line")).alias("norm"))
+    normalised = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\n]+", " "), "\n")
+    split = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(normalised).alias("line_no", "norm"))
+    return split.withColumn("norm", F.trim("norm"))
 
 
 def simhash(classes: DataFrame) -> DataFrame:
-    """(h1, h2, blocks): four 32-bit blocks of each class (h1, h2, norm). Each word adds to 128 counters, kept three
-    to a long, so that one grouped sum without arrays serves; a bit is set where most words have it."""
-    words = classes.select("h1", "h2", F.explode(F.split("norm", " ")).alias("w")).select("h1", "h2", F.xxhash64("w").alias("x0"), F.xxhash64("w", F.lit(1)).alias("x1"))
-    bit = lambda i: F.shiftright(F.col(f"x{i // 64}"), i % 64).bitwiseAND(F.lit(1).cast("long"))
-    packs = [list(range(a, min(a + LANES, 128))) for a in range(0, 128, LANES)]
-    sums = []
-    for k, pack in enumerate(packs):
-        lanes = bit(pack[0])
-        for j, i in enumerate(pack[1:], 1):
-            lanes = lanes.bitwiseOR(F.shiftleft(bit(i), 21 * j))
-        sums.append(F.sum(lanes).alias(f"s{k}"))
-    counted = words.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *sums)
-    blocks = []
-    for b in range(BLOCKS):
-        value = F.lit(0).cast("long")
-        for i in range(32 * b, 32 * b + 32):
-            count = F.shiftright(F.col(f"s{i // LANES}"), 21 * (i % LANES)).bitwiseAND(F.lit((1 << 21) - 1).cast("long"))
-            value = value.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(1 << (i % 32)).cast("long")).otherwise(F.lit(0).cast("long")))
-        blocks.append(value)
-    return counted.select("h1", "h2", F.array(*blocks).alias("blocks"))
+    """(h1, h2, blocks) of classes (h1, h2, first, norm): a long for each block of about 32 bits, equal where all its bits are.
+
+    A long holds three counters: bits i, i + 21 and i + 42 of a hash, so a shift and a mask add to all three, and one
+    grouped sum of 42 longs counts 126 bits without arrays. Adding 2^20 - 1 - n to twice the counts makes bit 20 of a
+    counter the majority. A line of few longer words has no blocks and is matched exactly only. Where classes are already grouped by (h1, h2), nothing is shuffled.
+    """
+    one = 1 | 1 << LANES | 1 << 2 * LANES
+    long = lambda x: F.lit(x).cast("long")
+    # The condition on `first` keeps it in the grouping, which stays the same for both sides of the later join.
+    words = classes.where((F.length("norm") <= MOST_WORDS) & F.col("first").isNotNull()).select("h1", "h2", F.explode(F.split("norm", " ")).alias("w")).where(F.length("w") >= LEAST_LETTERS)
+    hashed = words.select("h1", "h2", *(F.xxhash64("w", F.lit(k)).alias(f"x{k}") for k in range(HASHES)))
+    lanes = [F.shiftrightunsigned(F.col(f"x{k}"), i).bitwiseAND(long(one)) for k in range(HASHES) for i in range(LANES)]
+    counted = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{j}") for j, x in enumerate(lanes)))
+    bias = (long((1 << 20) - 1) - F.col("n")) * long(one)
+    major = [(2 * F.col(f"s{j}") + bias).bitwiseAND(long(one << 20)) for j in range(len(lanes))]
+    cuts = [round(b * len(major) / BLOCKS) for b in range(BLOCKS + 1)]
+    return counted.where(F.col("n") >= LEAST_WORDS).select("h1", "h2", F.array(*(F.xxhash64(F.lit(b), *major[cuts[b] : cuts[b + 1]]) for b in range(BLOCKS))).alias("blocks"))
 
 
 def _letters(norm: Column) -> Column:
@@ -56,69 +54,85 @@ def _letters(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.hex(F.lit(0x4E00).cast("long") + F.pmod(F.xxhash64(w), F.lit(20000)))), "")), "UTF-16BE")
 
 
-def alike(a: Column, b: Column, percent: int) -> Column:
-    """Whether the edit distance is at most (100 - percent) % of the longer string's length."""
-    most = F.greatest(F.length(a), F.length(b))
-    return F.expr("true") if percent <= 0 else (100 * F.least(F.length(a), F.length(b)) >= percent * most) & (F.levenshtein(a, b) * 100 <= (100 - percent) * most)
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether the edit distance of two columns is at most (100 - percent) % of the longer one's length."""
+    most = f"greatest(length({a}), length({b}))"
+    close = f"100 * least(length({a}), length({b})) >= {percent} * {most}"
+    return F.expr(f"{close} and levenshtein({a}, {b}, cast({100 - percent} * {most} div 100 as int)) >= 0")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose lines are alike."""
-    x = texts.select(F.col("first").alias("a"), F.col("norm").alias("na"))
-    y = texts.select(F.col("first").alias("b"), F.col("norm").alias("nb"))
+    """Pairs (a, b) of classes whose lines are alike; long lines are compared by words."""
+    own = texts.select("cid", F.when(F.length("norm") > LONG_TEXT, _letters(F.col("norm"))).alias("words"), "norm")
+    x, y = (own.select(F.col("cid").alias(c), F.col("norm").alias(f"n{c}"), F.col("words").alias(f"w{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
-    long = F.greatest(F.length("na"), F.length("nb")) > LONG_TEXT
-    return both.where(F.when(long, alike(_letters(F.col("na")), _letters(F.col("nb")), percent)).otherwise(alike(F.col("na"), F.col("nb"), percent))).select("a", "b")
+    return both.where(F.when(F.col("wa").isNotNull() & F.col("wb").isNotNull(), alike("wa", "wb", percent)).otherwise(alike("na", "nb", percent))).select("a", "b")
+
+
+def possible(rows: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
+    """Rows whose key may be among the keys, by a bitmap of 2^bits bits of the keys' hashes, broadcast in pieces of 4 KB
+    (2 MB at the most, whatever the number of keys). A fuller bitmap lets more rows through, never fewer."""
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    held = rows.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_at": F.bitmap_bit_position(slot)}).join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return held.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).drop("_bucket", "_at", "_bits")
 
 
-def repeated_lines(docs: DataFrame, percent: int = 90, min_words: int = 8) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> DataFrame:
     """(doc_id, th, line_no) of every line that repeats an earlier one, exactly or nearly.
 
-    Lines of fewer than ``min_words`` normalised words are never counted as repeats. Lines are alike from an edit
-    similarity of ``percent``. A group's first occurrence is the least (doc_id, th, line_no), null ids first; rows
-    that repeat doc_id and text are one document. A null text has no lines.
+    Lines of fewer than ``min_chars`` normalised characters are never counted as repeats. Lines are alike from an
+    edit similarity of ``percent``. A group's first occurrence is the least (doc_id, th, line_no), null ids first;
+    rows that repeat doc_id and text are one document. A null text has no lines.
 
-    The members of a block are linked to the block's least member, not to each other; where some of those links
-    fail, members of different verified groups are compared across. Hot lines collapse in the first grouping.
+    Equal lines collapse in the first grouping, so hot ones do on the map side. The members of a block are compared
+    with the block's least member, not with each other: the work of a round is linear in them. Those that it isn't
+    alike to form the block's next round under a leader of their own, until a round links nothing.
     """
-    lines = lines_of(docs).where(F.size(F.split("norm", " ")) >= min_words)
-    lines = lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
     where = F.struct("doc_id", "th", "line_no")
-    classes = materialise(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.first("norm").alias("norm")))
-    hashed = simhash(classes.select("h1", "h2", "norm"))
-    named = hashed.join(classes.select("h1", "h2", "first", F.length("norm").alias("len")), ["h1", "h2"])
-    blocks = materialise(named.select("first", "len", F.posexplode("blocks").alias("b", "v")))
-    stars = blocks.groupBy("b", "v").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a < z")
-    met = materialise(blocks.join(stars.select("b", "v", "a"), ["b", "v"]))
-    edges = met.where("a < first").select("a", F.col("first").alias("b")).distinct()
-    active = met.select("first").distinct()
-    texts = materialise(classes.select("first", "norm").join(active, "first", "left_semi"))
-    verified = materialise(_verified(edges, texts, percent))
-    groups = materialise(connected_components(verified))
-    labelled = met.join(groups.withColumnRenamed("node", "first"), "first", "left").select("b", "v", "first", "len", F.coalesce("component", "first").alias("label"))
-    open_ = labelled.groupBy("b", "v").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a < _z").select("b", "v")
-    left = materialise(labelled.join(open_, ["b", "v"]))
-    x, y = left.alias("x"), left.alias("y")
-    short = F.least("x.len", "y.len") <= LONG_TEXT
-    across = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.first") < F.col("y.first")) & (F.col("x.label") != F.col("y.label")) & (~short | (100 * F.least("x.len", "y.len") >= percent * F.greatest("x.len", "y.len"))))
-    more = across.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
-    linked = verified.union(materialise(_verified(more.join(edges, ["a", "b"], "left_anti"), texts, percent)))
-    kept = connected_components(linked).where("node <> component").select(F.col("node").alias("first"))
-    merged = materialise(classes.join(kept, "first", "left_semi").select("h1", "h2"))
-    release(blocks, met, texts, left)
-
-    every = lines.select("doc_id", "th", "line_no", "h1", "h2")
-    firsts = classes.select("h1", "h2", "first").join(merged.withColumn("_gone", F.lit(True)), ["h1", "h2"], "left")
-    repeats = every.join(firsts, ["h1", "h2"]).where(F.col("_gone") | (where != F.col("first")))
-    return repeats.select("doc_id", "th", "line_no").distinct()
-
-
-def without_repeats(docs: DataFrame, percent: int = 90, min_words: int = 8) -> DataFrame:
+    lines = lines_of(docs).where(F.length("norm") >= min_chars)
+    lines = materialise(lines.select("doc_id", "th", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), "norm"), "zstd")
+    # Both sides of this join are one grouping, exchanged once; it shuffles no more.
+    grouped = lines.where("h1 is not null and h2 is not null").groupBy("h1", "h2").agg(F.min(where).alias("first"), F.first("norm").alias("norm"))
+    classes = materialise(grouped.join(simhash(grouped), ["h1", "h2"], "left").withColumn("cid", F.monotonically_increasing_id()), "zstd")
+    every = materialise(lines.select("doc_id", "th", "line_no", "h1", "h2"))
+    release(lines)
+    blocks = classes.where("blocks is not null").select("cid", F.explode("blocks").alias("v"))
+    stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("v", "a"))
+    met = materialise(blocks.join(stars, "v").select("v", "cid", F.col("a").alias("leader")))
+    active = met.select("cid").distinct()
+    texts = materialise(possible(classes, "cid", active).select("cid", "norm").join(active, "cid", "left_semi"))
+    slim = materialise(classes.select("cid", "h1", "h2", "first"))
+    release(classes)
+
+    linked = None
+    while True:
+        edges = met.where("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+        found = materialise(_verified(edges, texts, percent))
+        if linked is not None and found.isEmpty():
+            break
+        linked = found if linked is None else linked.union(found)
+        # Members that aren't linked to their leader go on, and the least of them leads next.
+        near = found.select(F.col("a").alias("leader"), F.col("b").alias("cid"))
+        apart = met.where("leader <> cid").join(near, ["leader", "cid"], "left_anti").select("v", "cid")
+        met = materialise(apart.withColumn("leader", F.min("cid").over(Window.partitionBy("v"))))
+    joined = materialise(connected_components(linked))
+    release(stars, texts)
+
+    # A group's first occurrence; other classes keep their own.
+    member = joined.withColumnRenamed("node", "cid").join(slim, "cid")
+    merged = materialise(member.join(member.groupBy("component").agg(F.min("first").alias("whole")), "component").select("h1", "h2", "whole"))
+    firsts = slim.select("h1", "h2", "first").join(merged, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("whole", "first").alias("first"))
+    return every.join(firsts, ["h1", "h2"]).where(where != F.col("first")).select("doc_id", "th", "line_no").distinct()
+
+
+def without_repeats(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> DataFrame:
     """docs with struct column ``_lines``: (total, kept, text), text being the kept lines joined again.
 
     Documents without repeats, and null or empty texts, keep their text as it is.
     """
-    gone = materialise(repeated_lines(docs, percent, min_words)).groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("gone"))
+    gone = materialise(repeated_lines(docs, percent, min_chars)).groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
     both = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")), "left")
     lines = F.split("text", "\n")
@@ -128,10 +142,10 @@ def without_repeats(docs: DataFrame, percent: int = 90, min_words: int = 8) -> D
     return both.select("row", known.otherwise(F.struct(total.alias("total"), (total - F.size("gone")).cast("long").alias("kept"), F.array_join(kept, "\n").alias("text"))).alias("_lines"))
 
 
-def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> DataFrame:
     """docs without repeated lines. A document of which nothing but white space is left is dropped, unless it
     had no repeats to lose; n_chars follows the text."""
-    out = without_repeats(docs, percent, min_words)
+    out = without_repeats(docs, percent, min_chars)
     out = out.where((F.col("_lines.total") == F.col("_lines.kept")) | F.col("_lines.text").rlike(r"\S"))
     new = {"text": F.col("_lines.text"), "n_chars": F.when(F.col("_lines.total") == F.col("_lines.kept"), F.col("row.n_chars")).otherwise(F.length("_lines.text").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("_lines.text")}
     return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -396,6 +396,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_bitmap_keeps_all_keys(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "cid")
+    keys = rows.where("cid % 7 = 3")
+    for bits, most in ((24, 1000), (4, 5000)):
+        kept = {r.cid for r in line_dedup.possible(rows, "cid", keys, bits).collect()}
+        assert {r.cid for r in keys.collect()} <= kept and len(kept) <= most
+
+
 def test_fuzzy_lines(spark):
     rng = random.Random(7)
     base = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300))

@@ -102,7 +102,8 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
     stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("v", "a"))
     met = materialise(blocks.join(stars, "v").select("v", "cid", F.col("a").alias("leader")))
     active = met.select("cid").distinct()
-    texts = materialise(possible(classes, "cid", active).select("cid", "norm").join(active, "cid", "left_semi"))
+    # An inner join with distinct ids: a semi-join would be moved below the bitmap and shuffle all texts.
+    texts = materialise(possible(classes, "cid", active).select("cid", "norm").join(active, "cid"))
     slim = materialise(classes.select("cid", "h1", "h2", "first"))
     release(classes)
 

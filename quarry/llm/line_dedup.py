@@ -87,8 +87,8 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
     rows that repeat doc_id and text are one document. A null text has no lines.
 
     Equal lines collapse in the first grouping, so hot ones do on the map side. The members of a block are compared
-    with the block's least member, not with each other: the work of a round is linear in them. Those that it isn't
-    alike to form the block's next round under a leader of their own, until a round links nothing.
+    with the block's least member first, so a large group of near copies costs its star alone. Then every pair of a
+    block that isn't in one group by then is compared: no pair that meets is left out unless it is connected already.
     """
     where = F.struct("doc_id", "th", "line_no")
     lines = lines_of(docs).where(F.length("norm") >= min_chars)
@@ -107,17 +107,15 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
     slim = materialise(classes.select("cid", "h1", "h2", "first"))
     release(classes)
 
-    linked = None
-    while True:
-        edges = met.where("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-        found = materialise(_verified(edges, texts, percent))
-        if linked is not None and found.isEmpty():
-            break
-        linked = found if linked is None else linked.union(found)
-        # Members that aren't linked to their leader go on, and the least of them leads next.
-        near = found.select(F.col("a").alias("leader"), F.col("b").alias("cid"))
-        apart = met.where("leader <> cid").join(near, ["leader", "cid"], "left_anti").select("v", "cid")
-        met = materialise(apart.withColumn("leader", F.min("cid").over(Window.partitionBy("v"))))
+    stars_found = materialise(_verified(met.where("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), texts, percent))
+    groups = connected_components(stars_found)
+    # What of a block isn't one group with the rest yet meets all of the block's other groups.
+    named = materialise(met.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").select("v", "cid", "leader", F.coalesce("component", "cid").alias("own")))
+    mixed = named.groupBy("v").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("v")
+    open_ = materialise(named.join(mixed, "v"))
+    x, y = open_.select("v", F.col("cid").alias("a"), F.col("own").alias("own_a"), "leader"), open_.select("v", F.col("cid").alias("b"), F.col("own").alias("own_b"))
+    others = x.join(y, (x["v"] == y["v"]) & (F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & (F.col("a") != F.col("leader"))).select("a", "b").distinct()
+    linked = stars_found.union(materialise(_verified(others, texts, percent)))
     joined = materialise(connected_components(linked))
     release(stars, texts)
 

@@ -421,6 +421,21 @@ def test_fuzzy_lines(spark):
     assert pair.select(line_dedup.alike("a", "b", 88), line_dedup.alike("a", "b", 90)).first() == (True, False)
 
 
+def test_all_pairs_of_a_block_are_compared(spark):
+    """Lines of the same longer words meet in every block, whatever their order and their short words."""
+    rng = random.Random(3)
+    longer = ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(9)]
+    unlike = [" ".join(rng.sample(longer, 9)) for _ in range(10)]
+    twin = " ".join(rng.sample(longer, 9))
+    short = ["".join(rng.choice("klmnopqr") for _ in range(3)) for _ in range(60)]
+    chain = []
+    for i in range(6):  # neighbours differ by a tenth of the short words, further ones by more
+        chain.append(" ".join([*longer, *["xyz" if j < 6 * i else w for j, w in enumerate(short)]]))
+    data = spark.createDataFrame(list(enumerate([*unlike, twin + " ab", twin + " ac", *chain])), "doc_id long, text string")
+    kept = {r.doc_id for r in line_dedup.dedup_lines(data).collect()}
+    assert kept == {*range(11), 12}
+
+
 def test_packing(spark, docs, empty):
     window = 64
     got = packing.pack_documents(docs, window=window).collect()

@@ -29,8 +29,8 @@ def bucket_search(query: np.ndarray, norm: float, theta: float, units: np.ndarra
 
     With a local cosine threshold t = theta / (norm * longest) above 1 the bucket holds none. A small t
     prunes by length: rows shorter than theta / norm end the scan. A large t prunes by coordinates: on each of
-    the query's largest coordinates q, a unit row with cosine t lies in [q t - s, q t + s],
-    s = sqrt((1 - t^2)(1 - q^2)).
+    the query's largest coordinates q, a unit row with a cosine of at least t lies in [q t - s, q t + s],
+    s = sqrt((1 - t^2)(1 - q^2)); from q >= t on the upper end is 1, and from q <= -t on the lower end is -1.
     """
     if not len(norms) or theta <= 0 or norm == 0:
         return np.arange(len(norms)) if theta <= 0 else np.arange(0)
@@ -47,7 +47,9 @@ def bucket_search(query: np.ndarray, norm: float, theta: float, units: np.ndarra
     for f in np.argsort(-np.abs(unit))[:focus]:
         s = np.sqrt(max(0.0, (1 - t * t) * (1 - unit[f] ** 2))) + slack
         x = units[keep, f]
-        keep = keep[(x >= unit[f] * t - s) & (x <= unit[f] * t + s)]
+        low = -np.inf if unit[f] <= -t else unit[f] * t - s
+        high = np.inf if unit[f] >= t else unit[f] * t + s
+        keep = keep[(x >= low) & (x <= high)]
     return keep
 
 

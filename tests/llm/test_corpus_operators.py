@@ -185,6 +185,35 @@ def test_pruning_keeps_every_row_that_can_score():
         assert set(np.flatnonzero(score >= theta)) <= set(keep)
 
 
+@pytest.mark.parametrize("dims", [1, 2, 8])
+@pytest.mark.parametrize("sparse", [False, True])
+def test_pruning_keeps_rows_near_a_dominant_component(dims, sparse):
+    rng = np.random.default_rng(dims)
+    for _ in range(200):
+        q = np.zeros(dims)
+        q[rng.integers(dims)] = rng.choice([-1.0, 1.0])
+        if not sparse:
+            q += 0.2 * rng.normal(size=dims)
+        v = q + rng.choice([0.05, 0.3, 1]) * rng.normal(size=(60, dims))
+        norms = np.sqrt((v**2).sum(1))
+        order = np.argsort(-norms)
+        v, norms = v[order], norms[order]
+        score = v @ q
+        theta = float(np.sort(score)[-rng.integers(1, 12)])
+        keep = topk.bucket_search(q, float(np.sqrt((q**2).sum())), theta * (1 - 1e-12), v / norms[:, None], norms, 6)
+        assert set(np.flatnonzero(score >= theta)) <= set(keep)
+
+
+def test_top_products_of_sparse_vectors_over_many_buckets(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.eye(4)[i % 4] * rng.uniform(0.5, 2) + (rng.random(4) < 0.3) * rng.normal(size=4) * 0.3]) for i in range(400)]
+    rows += [(1000 + i, [float(x) for x in np.eye(4)[i]]) for i in range(4)]
+    got = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 1000, 10, bucket=16, block=2).collect()
+    whole = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows}
+    want = {(i, c, -s) for i in range(1000, 1004) for s, c in sorted((-int(whole[i] @ whole[c]), c) for c in whole if c != i)[:10]}
+    assert {(r.query_id, r.vec_id, r.score) for r in got} == want
+
+
 def test_fingerprints(spark, docs, empty):
     got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in fingerprint.fingerprint_documents(docs).collect()}
     rows = sorted({(r.doc_id, r.text or "") for r in docs.collect()}, key=lambda r: (r[0] is not None, r[0] or 0))

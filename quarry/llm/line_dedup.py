@@ -1,9 +1,11 @@
 """Fuzzy line deduplication by SimHash and edit similarity, DataFrame operations only.
 
 Lines are normalised (lower case, runs of anything but letters collapsed to a space) and equal ones counted as
-one class. A class's SimHash has 128 bits, one sign for each over its words. Classes that agree in one of four
-32-bit blocks meet: any two within Hamming distance 3 do, by the pigeonhole principle, and most of those a
-little further. Pairs that meet are verified by edit similarity; connected groups keep their first occurrence.
+one class. A class's SimHash has 126 bits, one sign for each over its longer words. Classes that agree in one of
+four blocks of about 32 bits meet: any two within Hamming distance 3 do, by the pigeonhole principle. As lines that
+are alike are often further apart, classes also meet by MinHash, where they agree in one of twelve bands of three
+least hashes, of pairs of adjacent words or, for lines of few words, of runs of six characters. Pairs that meet are
+verified by edit similarity; connected groups keep their first occurrence.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from quarry.llm.common import connected_components, materialise, release
 BLOCKS = 4
 LANES = 21  # bits of a counter, three to a long
 HASHES = 2  # 64-bit hashes of a word, of which 63 bits count
-MOST_WORDS = (1 << (LANES - 2)) - 1  # a longer line's counters could overflow: it is matched exactly only
+MOST_WORDS = (1 << (LANES - 2)) - 1  # a longer line's counters could overflow: it meets others by its bands alone
 LEAST_LETTERS = 4  # shorter words are too common to tell lines apart
-LEAST_WORDS = 6  # lines with fewer longer words share their bits with too many others
+LEAST_WORDS = 6  # lines with fewer longer words share their bits with too many others and meet by bands
+BANDS, ROWS = 12, 3  # bands of MinHash and least hashes in each
+FEW, MANY = 8, 16  # lines of fewer words meet by characters, of more by pairs of words, between by both
+GRAM = 6  # characters in a run
 LONG_TEXT = 300  # code points above which edit similarity counts words, not characters
 
 
@@ -34,7 +39,7 @@ def simhash(classes: DataFrame) -> DataFrame:
 
     A long holds three counters: bits i, i + 21 and i + 42 of a hash, so a shift and a mask add to all three, and one
     grouped sum of 42 longs counts 126 bits without arrays. Adding 2^20 - 1 - n to twice the counts makes bit 20 of a
-    counter the majority. A line of few longer words has no blocks and is matched exactly only. Where classes are already grouped by (h1, h2), nothing is shuffled.
+    counter the majority. A line of few longer words has no blocks and meets others by its bands alone. Where classes are already grouped by (h1, h2), nothing is shuffled.
     """
     one = 1 | 1 << LANES | 1 << 2 * LANES
     long = lambda x: F.lit(x).cast("long")
@@ -49,6 +54,24 @@ def simhash(classes: DataFrame) -> DataFrame:
     return counted.where(F.col("n") >= LEAST_WORDS).select("h1", "h2", F.array(*(F.xxhash64(F.lit(b), *major[cuts[b] : cuts[b + 1]]) for b in range(BLOCKS))).alias("blocks"))
 
 
+def bands(classes: DataFrame) -> DataFrame:
+    """(h1, h2, bands) of classes (h1, h2, first, norm): a long for each band of MinHash, equal where its least hashes are.
+
+    The last bit of a feature's hash tells pairs of words from runs of characters, which have bands of their own.
+    Where classes are already grouped by (h1, h2), nothing is shuffled."""
+    words = F.split("norm", " ")
+    odd = F.lit(1).cast("long")
+    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b).bitwiseOR(odd))
+    runs = F.when(F.length("norm") < GRAM, F.array("norm")).otherwise(F.regexp_extract_all("norm", F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1)))
+    runs = F.transform(runs, lambda x: F.shiftleft(F.xxhash64(x), 1))
+    n = F.size(words)
+    features = F.when(n > MANY, pairs).when(n < FEW, runs).otherwise(F.concat(pairs, runs))
+    each = classes.where(F.col("first").isNotNull()).select("h1", "h2", F.explode(features).alias("x")).withColumn("kind", F.col("x").bitwiseAND(odd))
+    least = each.groupBy("h1", "h2", "kind").agg(*(F.min(F.xxhash64("x", F.lit(j))).alias(f"m{j}") for j in range(BANDS * ROWS)))
+    own = F.array(*(F.xxhash64(F.lit(BLOCKS + b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    return least.select("h1", "h2", own.alias("own")).groupBy("h1", "h2").agg(F.flatten(F.collect_list("own")).alias("bands"))
+
+
 def _letters(norm: Column) -> Column:
     """A character for each word, by hash, so that edit distance over characters counts words."""
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.hex(F.lit(0x4E00).cast("long") + F.pmod(F.xxhash64(w), F.lit(20000)))), "")), "UTF-16BE")
@@ -93,14 +116,16 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
     where = F.struct("doc_id", "th", "line_no")
     lines = lines_of(docs).where(F.length("norm") >= min_chars)
     lines = materialise(lines.select("doc_id", "th", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), "norm"), "zstd")
-    # Both sides of this join are one grouping, exchanged once; it shuffles no more.
+    # All sides of these joins are one grouping, exchanged once; they shuffle no more.
     grouped = lines.where("h1 is not null and h2 is not null").groupBy("h1", "h2").agg(F.min(where).alias("first"), F.first("norm").alias("norm"))
-    classes = materialise(grouped.join(simhash(grouped), ["h1", "h2"], "left").withColumn("cid", F.monotonically_increasing_id()), "zstd")
+    some = lambda c: F.coalesce(c, F.array().cast("array<long>"))
+    signed = grouped.join(simhash(grouped), ["h1", "h2"], "left").join(bands(grouped), ["h1", "h2"], "left")
+    classes = materialise(signed.withColumn("blocks", F.concat(some("blocks"), some("bands"))).drop("bands").withColumn("cid", F.monotonically_increasing_id()), "zstd")
     every = materialise(lines.select("doc_id", "th", "line_no", "h1", "h2"))
     release(lines)
-    blocks = classes.where("blocks is not null").select("cid", F.explode("blocks").alias("v"))
+    blocks = classes.select("cid", F.explode("blocks").alias("v"))
     stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("v", "a"))
-    met = materialise(blocks.join(stars, "v").select("v", "cid", F.col("a").alias("leader")))
+    met = materialise(possible(blocks, "v", stars.select("v")).join(stars, "v").select("v", "cid", F.col("a").alias("leader")))
     active = met.select("cid").distinct()
     # An inner join with distinct ids: a semi-join would be moved below the bitmap and shuffle all texts.
     texts = materialise(possible(classes, "cid", active).select("cid", "norm").join(active, "cid"))

@@ -465,6 +465,29 @@ def test_all_pairs_of_a_block_are_compared(spark):
     assert kept == {*range(11), 12}
 
 
+def test_near_lines_meet(spark):
+    """Recall over lines of all lengths, with a letter changed and with a twentieth of the words replaced."""
+    rng = random.Random(12)
+    word = lambda n=None: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n or rng.randint(2, 9)))
+    rows, kinds = [], []
+    for n in (8, 12, 20, 40, 80, 200):
+        for _ in range(40):
+            w = [word() for _ in range(n)]
+            w[0] = word(9)
+            one, some = list(w), list(w)
+            one[rng.randrange(1, n)] += "z"
+            for j in rng.sample(range(1, n), n // 20):
+                some[j] = word(len(w[j]))
+            kinds += [(n, x) for x in ("first", "letter", "words" if n >= 20 else "")]
+            rows += [w, one, some if n >= 20 else [word(12) for _ in range(n)]]
+    data = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id for r in line_dedup.dedup_lines(data).collect()}
+    assert {i for i, (_, x) in enumerate(kinds) if x in ("first", "")} <= kept
+    for n, x in {k for k in kinds if k[1] in ("letter", "words")}:
+        own = [i for i, k in enumerate(kinds) if k == (n, x)]
+        assert sum(i not in kept for i in own) >= 0.9 * len(own), (n, x)
+
+
 def test_packing(spark, docs, empty):
     window = 64
     got = packing.pack_documents(docs, window=window).collect()

@@ -24,7 +24,6 @@ LEAST_WORDS = 6  # lines with fewer longer words share their bits with too many
 BANDS, ROWS = 12, 3  # bands of MinHash and least hashes in each
 FEW, MANY = 8, 16  # lines of fewer words meet by characters, of more by pairs of words, between by both
 GRAM = 6  # characters in a run
-LONG_TEXT = 300  # code points above which edit similarity counts words, not characters
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -72,24 +71,21 @@ def bands(classes: DataFrame) -> DataFrame:
     return least.select("h1", "h2", own.alias("own")).groupBy("h1", "h2").agg(F.flatten(F.collect_list("own")).alias("bands"))
 
 
-def _letters(norm: Column) -> Column:
-    """A character for each word, by hash, so that edit distance over characters counts words."""
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.hex(F.lit(0x4E00).cast("long") + F.pmod(F.xxhash64(w), F.lit(20000)))), "")), "UTF-16BE")
+def _sizes(a: str, b: str, percent: int) -> str:
+    """Whether two lengths allow an edit similarity of ``percent``."""
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
 def alike(a: str, b: str, percent: int) -> Column:
     """Whether the edit distance of two columns is at most (100 - percent) % of the longer one's length."""
     most = f"greatest(length({a}), length({b}))"
-    close = f"100 * least(length({a}), length({b})) >= {percent} * {most}"
-    return F.expr(f"{close} and levenshtein({a}, {b}, cast({100 - percent} * {most} div 100 as int)) >= 0")
+    return F.expr(f"{_sizes(f'length({a})', f'length({b})', percent)} and levenshtein({a}, {b}, cast({100 - percent} * {most} div 100 as int)) >= 0")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose lines are alike; long lines are compared by words."""
-    own = texts.select("cid", F.when(F.length("norm") > LONG_TEXT, _letters(F.col("norm"))).alias("words"), "norm")
-    x, y = (own.select(F.col("cid").alias(c), F.col("norm").alias(f"n{c}"), F.col("words").alias(f"w{c}")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    return both.where(F.when(F.col("wa").isNotNull() & F.col("wb").isNotNull(), alike("wa", "wb", percent)).otherwise(alike("na", "nb", percent))).select("a", "b")
+    """Pairs (a, b) of classes whose lines are alike."""
+    x, y = (texts.select(F.col("cid").alias(c), F.col("norm").alias(f"n{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").where(alike("na", "nb", percent)).select("a", "b")
 
 
 def possible(rows: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
@@ -123,23 +119,24 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
     classes = materialise(signed.withColumn("blocks", F.concat(some("blocks"), some("bands"))).drop("bands").withColumn("cid", F.monotonically_increasing_id()), "zstd")
     every = materialise(lines.select("doc_id", "th", "line_no", "h1", "h2"))
     release(lines)
-    blocks = classes.select("cid", F.explode("blocks").alias("v"))
-    stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("v", "a"))
-    met = materialise(possible(blocks, "v", stars.select("v")).join(stars, "v").select("v", "cid", F.col("a").alias("leader")))
+    blocks = classes.select("cid", F.length("norm").alias("size"), F.explode("blocks").alias("v"))
+    stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("leader"), F.max("cid").alias("z")).where("leader < z").select("v", "leader"))
+    met = materialise(possible(blocks, "v", stars.select("v")).join(stars, "v").select("v", "cid", "size", "leader"))
     active = met.select("cid").distinct()
     # An inner join with distinct ids: a semi-join would be moved below the bitmap and shuffle all texts.
     texts = materialise(possible(classes, "cid", active).select("cid", "norm").join(active, "cid"))
     slim = materialise(classes.select("cid", "h1", "h2", "first"))
     release(classes)
 
-    stars_found = materialise(_verified(met.where("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), texts, percent))
+    leaders = met.where("leader = cid").select("v", F.col("size").alias("most"))
+    stars_found = materialise(_verified(met.join(leaders, "v").where(f"leader <> cid and {_sizes('size', 'most', percent)}").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), texts, percent))
     groups = connected_components(stars_found)
     # What of a block isn't one group with the rest yet meets all of the block's other groups.
-    named = materialise(met.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").select("v", "cid", "leader", F.coalesce("component", "cid").alias("own")))
+    named = materialise(met.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").select("v", "cid", "size", "leader", F.coalesce("component", "cid").alias("own")))
     mixed = named.groupBy("v").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("v")
     open_ = materialise(named.join(mixed, "v"))
-    x, y = open_.select("v", F.col("cid").alias("a"), F.col("own").alias("own_a"), "leader"), open_.select("v", F.col("cid").alias("b"), F.col("own").alias("own_b"))
-    others = x.join(y, (x["v"] == y["v"]) & (F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & (F.col("a") != F.col("leader"))).select("a", "b").distinct()
+    x, y = open_.select("v", F.col("cid").alias("a"), F.col("own").alias("own_a"), F.col("size").alias("size_a"), "leader"), open_.select("v", F.col("cid").alias("b"), F.col("own").alias("own_b"), F.col("size").alias("size_b"))
+    others = x.join(y, (x["v"] == y["v"]) & (F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & (F.col("a") != F.col("leader")) & F.expr(_sizes("size_a", "size_b", percent))).select("a", "b").distinct()
     linked = stars_found.union(materialise(_verified(others, texts, percent)))
     joined = materialise(connected_components(linked))
     release(stars, texts)

@@ -488,6 +488,18 @@ def test_near_lines_meet(spark):
         assert sum(i not in kept for i in own) >= 0.9 * len(own), (n, x)
 
 
+def test_lines_of_every_kind_are_matched(spark):
+    """Scripts without spaces, lines of short words, and letters changed in many words of a long line."""
+    rng = random.Random(5)
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in (60, 900)]
+    short = " ".join("".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(30))
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(80)]
+    edited = " ".join(w[:-1] + "z" if j % 9 == 0 else w for j, w in enumerate(words))
+    lines = [*han, *(x[:30] + "z" + x[31:] for x in han), short, short[:40] + "z" + short[41:], " ".join(words), edited]
+    data = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(data).collect()} == {0, 1, 4, 6}
+
+
 def test_packing(spark, docs, empty):
     window = 64
     got = packing.pack_documents(docs, window=window).collect()

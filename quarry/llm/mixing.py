@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialise, running_totals
 
 WEIGHTS = (5, 2, 1)
+LEAST_BLOCKS = 256  # a source of fewer common blocks is cut into so many of its own, or into its tokens
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -57,8 +58,10 @@ def mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     ``key`` tells rows apart and, with the seed, orders a source's rows; equal keys of one source stand in
     any order and must be equal rows. A source's tokens, laid out in that order, are cut into equal blocks.
     Its seats pay for whole epochs first, the rest for blocks chosen by seeded hash; seats beyond ``most``
-    epochs lapse. ``epochs`` counts whole copies and ``picks`` lists the further token ranges [start, stop)
-    of the row. A source without tokens has target 0; an empty table gives an empty result.
+    epochs lapse. The common block grows with the corpus: a source of fewer than ``LEAST_BLOCKS`` of them has
+    blocks of its own instead, and takes the number nearest to its target.
+    ``epochs`` counts whole copies and ``picks`` lists the further token ranges [start, stop) of the row. A
+    source without tokens has target 0; an empty table gives an empty result.
     """
     rows = materialise(rows)
     targets = materialise(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(most)))
@@ -67,6 +70,9 @@ def mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     granted = F.greatest(F.lit(1), F.sum("seats").over(Window.partitionBy(F.lit(0))))
     mean = share * F.sum("source_size").over(Window.partitionBy(F.lit(0))) / granted  # tokens a seat pays for
     plan = plan.withColumn("n_blocks", F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / F.greatest(mean, F.lit(1e-9))))).otherwise(0).cast("long"))
+    small = (F.col("source_size") > 0) & (F.col("n_blocks") < LEAST_BLOCKS)
+    own = F.least(F.col("source_size"), F.lit(LEAST_BLOCKS)).cast("long")
+    plan = plan.withColumn("seats", F.when(small, F.round(F.col("target") / F.col("source_size") * own).cast("long")).otherwise(F.col("seats"))).withColumn("n_blocks", F.when(small, own).otherwise(F.col("n_blocks")))
     # Within a source the blocks are equal to a token: the k-th ends at (k + 1) * source_size div n_blocks.
     paid = F.least("seats", most * F.col("n_blocks"))
     plan = materialise(plan.withColumn("epochs", F.expr(f"case when n_blocks > 0 then least(seats, {most} * n_blocks) div n_blocks else 0 end")).withColumn("extra", paid - F.col("epochs") * F.col("n_blocks")))

@@ -387,6 +387,17 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_documents(empty).count() == 0 and mixing.mixed_texts(empty).count() == 0
 
 
+def test_small_sources_keep_their_share_of_a_large_corpus(spark):
+    """At 3.2e9 tokens a common block has about 73,000."""
+    rows = [(f"hot{i}", "hot", 3_200_000) for i in range(1000)]
+    sizes = {"a": 5_000, "b": 12_000, "c": 20_000, "d": 50_000, "e": 130_000, "f": 400_000, "g": 7}
+    rows += [(f"{s}{i}", s, n // 5 + (n % 5 if i == 0 else 0)) for s, n in sizes.items() for i in range(5)]
+    got = mixing.mix(spark.createDataFrame(rows, "key string, source string, size long")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 8
+    for r in got:
+        assert r.taken == pytest.approx(r.target, rel=0.02), r
+
+
 def test_seats_are_sainte_lague(spark):
     targets = spark.createDataFrame([(0, 53.0), (1, 24.0), (2, 23.0), (3, 0.0)], "place int, target double")
     got = {(r.place, r.shard): r.seats for r in mixing.seats(targets, shards=4, blocks=20, per_source=1).collect()}

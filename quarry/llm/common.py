@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDER: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +43,8 @@ def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
@@ -53,6 +56,25 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Release the tables that are materialised inside when it ends, but those handed to the yielded function."""
+    kept: list[DataFrame] = []
+    _SCOPES.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _SCOPES.pop()
+        release(*(x for x in made if not any(x is k for k in kept)))
+        if _SCOPES:
+            _SCOPES[-1] += kept
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows, for actions inside: rows of megabytes must not meet in thousands."""

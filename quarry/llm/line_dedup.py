@@ -1,74 +1,66 @@
-"""Fuzzy line deduplication by SimHash and edit similarity, DataFrame operations only.
-
-Lines are normalised (lower case, runs of anything but letters collapsed to a space) and equal ones counted as
-one class. A class's SimHash has 126 bits, one sign for each over its longer words. Classes that agree in one of
-four blocks of about 32 bits meet: any two within Hamming distance 3 do, by the pigeonhole principle. As lines that
-are alike are often further apart, classes also meet by MinHash, where they agree in one of twelve bands of three
-least hashes, of pairs of adjacent words or, for lines of few words, of runs of six characters. Pairs that meet are
-verified by edit similarity; connected groups keep their first occurrence.
+"""Fuzzy line deduplication by SimHash blocks and edit similarity, DataFrame operations only.
+
+Lines are normalised (lower case, runs of anything but letters, marks and digits collapsed to a space) and equal ones
+counted as one class. At an edit similarity of 90 % a tenth of the bits of a SimHash over all words flip: blocks of
+bits short enough to survive that are shared by far too many lines. So a line is cut into blocks by words instead of
+bits. Its words' hashes are put in order, longer words, which tell lines apart, rather at the front; the SimHash of
+three of them in a row, their bitwise majority, is a block. By the pigeonhole principle, e changed words spoil a few
+of the blocks only, and lines that agree in a block meet; of lines of many words, two blocks in a row have to agree.
+Lines of few words take runs of characters for words. Pairs that meet are verified by edit similarity; connected
+groups keep their first occurrence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, materialise, release
+from quarry.llm.common import connected_components, materialise, running_totals, scratch
 
-BLOCKS = 4
-LANES = 21  # bits of a counter, three to a long
-HASHES = 2  # 64-bit hashes of a word, of which 63 bits count
-MOST_WORDS = (1 << (LANES - 2)) - 1  # a longer line's counters could overflow: it meets others by its bands alone
-LEAST_LETTERS = 4  # shorter words are too common to tell lines apart
-LEAST_WORDS = 6  # lines with fewer longer words share their bits with too many others and meet by bands
-BANDS, ROWS = 12, 3  # bands of MinHash and least hashes in each
-FEW, MANY = 8, 16  # lines of fewer words meet by characters, of more by pairs of words, between by both
+BLOCKS = 12  # blocks of a kind that a line has at the most
 GRAM = 6  # characters in a run
+FEW, SOME = 5, 8  # distinct words up to which a line has blocks of runs alone, or of runs and of words
+SHORT, LONG = 16, 24  # distinct words up to which single blocks are enough, and from which two in a row have to agree
+OTHER = r"[^\p{L}\p{M}\p{N}\n]+"
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, with runs of anything but letters, marks, digits and line ends as one space."""
+    return F.regexp_replace(F.lower(text), OTHER, " ")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, th, line_no, norm) of every line; th is xxhash64 of the text, which tells repeated ids apart."""
-    normalised = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\n]+", " "), "\n")
-    split = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(normalised).alias("line_no", "norm"))
+    split = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("line_no", "norm"))
     return split.withColumn("norm", F.trim("norm"))
 
 
-def simhash(classes: DataFrame) -> DataFrame:
-    """(h1, h2, blocks) of classes (h1, h2, first, norm): a long for each block of about 32 bits, equal where all its bits are.
+def _ordered(words: Column) -> Column:
+    """Hashes of the distinct words; each two bytes of a word halve its hash."""
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.shiftright(F.least(F.octet_length(w), F.lit(40)), 1)))))
 
-    A long holds three counters: bits i, i + 21 and i + 42 of a hash, so a shift and a mask add to all three, and one
-    grouped sum of 42 longs counts 126 bits without arrays. Adding 2^20 - 1 - n to twice the counts makes bit 20 of a
-    counter the majority. A line of few longer words has no blocks and meets others by its bands alone. Where classes are already grouped by (h1, h2), nothing is shuffled.
-    """
-    one = 1 | 1 << LANES | 1 << 2 * LANES
-    long = lambda x: F.lit(x).cast("long")
-    # The condition on `first` keeps it in the grouping, which stays the same for both sides of the later join.
-    words = classes.where((F.length("norm") <= MOST_WORDS) & F.col("first").isNotNull()).select("h1", "h2", F.explode(F.split("norm", " ")).alias("w")).where(F.length("w") >= LEAST_LETTERS)
-    hashed = words.select("h1", "h2", *(F.xxhash64("w", F.lit(k)).alias(f"x{k}") for k in range(HASHES)))
-    lanes = [F.shiftrightunsigned(F.col(f"x{k}"), i).bitwiseAND(long(one)) for k in range(HASHES) for i in range(LANES)]
-    counted = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{j}") for j, x in enumerate(lanes)))
-    bias = (long((1 << 20) - 1) - F.col("n")) * long(one)
-    major = [(2 * F.col(f"s{j}") + bias).bitwiseAND(long(one << 20)) for j in range(len(lanes))]
-    cuts = [round(b * len(major) / BLOCKS) for b in range(BLOCKS + 1)]
-    return counted.where(F.col("n") >= LEAST_WORDS).select("h1", "h2", F.array(*(F.xxhash64(F.lit(b), *major[cuts[b] : cuts[b + 1]]) for b in range(BLOCKS))).alias("blocks"))
-
-
-def bands(classes: DataFrame) -> DataFrame:
-    """(h1, h2, bands) of classes (h1, h2, first, norm): a long for each band of MinHash, equal where its least hashes are.
-
-    The last bit of a feature's hash tells pairs of words from runs of characters, which have bands of their own.
-    Where classes are already grouped by (h1, h2), nothing is shuffled."""
-    words = F.split("norm", " ")
-    odd = F.lit(1).cast("long")
-    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b).bitwiseOR(odd))
-    runs = F.when(F.length("norm") < GRAM, F.array("norm")).otherwise(F.regexp_extract_all("norm", F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1)))
-    runs = F.transform(runs, lambda x: F.shiftleft(F.xxhash64(x), 1))
-    n = F.size(words)
-    features = F.when(n > MANY, pairs).when(n < FEW, runs).otherwise(F.concat(pairs, runs))
-    each = classes.where(F.col("first").isNotNull()).select("h1", "h2", F.explode(features).alias("x")).withColumn("kind", F.col("x").bitwiseAND(odd))
-    least = each.groupBy("h1", "h2", "kind").agg(*(F.min(F.xxhash64("x", F.lit(j))).alias(f"m{j}") for j in range(BANDS * ROWS)))
-    own = F.array(*(F.xxhash64(F.lit(BLOCKS + b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    return least.select("h1", "h2", own.alias("own")).groupBy("h1", "h2").agg(F.flatten(F.collect_list("own")).alias("bands"))
+
+def _simhashes(x: Column) -> Column:
+    """The SimHash, which is the bitwise majority, of each three hashes in a row; of fewer than three, the first hash."""
+    m = F.greatest(F.size(x) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(x, 1, m), F.slice(x, 2, m), lambda a, b: F.struct(a.bitwiseAND(b).alias("both"), a.bitwiseOR(b).alias("some")))
+    return F.when(m == 0, F.slice(x, 1, 1)).otherwise(F.zip_with(pairs, F.slice(x, 3, m), lambda ab, c: ab["both"].bitwiseOR(ab["some"].bitwiseAND(c))))
+
+
+def with_blocks(lines: DataFrame) -> DataFrame:
+    """Add ``blocks``, an array of longs, to lines with a column ``norm`` that isn't empty."""
+    none = F.array().cast("array<long>")
+    spread = lambda hashes: F.transform(F.slice(hashes, 1, BLOCKS + 4), lambda h: F.xxhash64(h))
+    grams = F.when(F.length("norm") < GRAM, F.array("norm")).otherwise(F.regexp_extract_all("norm", F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1)))
+    # Each step is a column of its own: inside of lambdas an expression would be computed for each element.
+    out = lines.withColumn("_w", _ordered(F.split("norm", " ")))
+    out = out.withColumns({"_n": F.size("_w"), "_x": spread(F.col("_w")), "_g": F.when(F.size("_w") <= SOME, spread(_ordered(grams))).otherwise(none)})
+    out = out.withColumns({"_s": _simhashes(F.col("_x")), "_r": F.transform(F.slice(_simhashes(F.col("_g")), 1, BLOCKS), lambda x: F.xxhash64(x))})
+    n, s = F.col("_n"), F.col("_s")
+    m = F.least(F.lit(BLOCKS), F.greatest(F.size(s) - 2, F.lit(0)))
+    two = F.zip_with(F.slice(s, 1, m), F.slice(s, 3, m), lambda a, b: F.xxhash64(a, b))
+    some = F.concat("_r", F.when((n > FEW) & (n <= LONG), F.slice(s, 1, BLOCKS)).otherwise(none), F.when(n > SHORT, two).otherwise(none))
+    return out.withColumn("blocks", F.array_distinct(some)).drop("_w", "_n", "_x", "_g", "_s", "_r")
 
 
 def _sizes(a: str, b: str, percent: int) -> str:
@@ -83,9 +75,21 @@ def alike(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose lines are alike."""
+    """Pairs (a, b) of classes whose lines are alike.
+
+    Two cheaper steps come before the distance and change no result. Words of lines of equally many words are compared
+    in pairs: the sum of their distances is no less than the distance of the lines. And words that two lines have in
+    common at their ends are left out, but for the innermost, as the distance is that of the rest.
+    """
     x, y = (texts.select(F.col("cid").alias(c), F.col("norm").alias(f"n{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").where(alike("na", "nb", percent)).select("a", "b")
+    both = pairs.join(x, "a").join(y, "b").where(_sizes("length(na)", "length(nb)", percent))
+    both = both.withColumns({"most": F.expr(f"cast({100 - percent} * greatest(length(na), length(nb)) div 100 as int)"), "wa": F.split("na", " "), "wb": F.split("nb", " ")})
+    in_turn = F.expr("if(size(wa) = size(wb) and size(wa) > 3, aggregate(zip_with(wa, wb, (x, y) -> if(x = y, 0, levenshtein(x, y))), 0, (s, d) -> s + d), null)")
+    same = lambda x, y: f"greatest(coalesce(cast(array_position(zip_with({x}, {y}, (x, y) -> x <=> y), false) as int), 1) - 2, 0)"
+    both = both.withColumns({"sure": F.coalesce(in_turn <= F.col("most"), F.lit(False)), "p": F.expr(same("wa", "wb")), "q": F.expr(same("reverse(wa)", "reverse(wb)"))})
+    both = both.withColumn("q", F.expr("greatest(least(q, least(size(wa), size(wb)) - 1 - p), 0)"))
+    rest = lambda x: f"array_join(slice({x}, p + 1, size({x}) - p - q), ' ')"
+    return both.where(F.col("sure") | F.expr(f"levenshtein({rest('wa')}, {rest('wb')}, most) >= 0")).select("a", "b")
 
 
 def possible(rows: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
@@ -105,47 +109,56 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
     edit similarity of ``percent``. A group's first occurrence is the least (doc_id, th, line_no), null ids first;
     rows that repeat doc_id and text are one document. A null text has no lines.
 
-    Equal lines collapse in the first grouping, so hot ones do on the map side. The members of a block are compared
-    with the block's least member first, so a large group of near copies costs its star alone. Then every pair of a
-    block that isn't in one group by then is compared: no pair that meets is left out unless it is connected already.
+    Equal lines collapse in the first grouping, by hashes: texts of lines aren't shuffled, but for those that meet
+    another in a block. Every member of a block is compared with the block's first, which settles groups of near
+    copies in linear work. What of a block isn't one group by then goes on: the next four members meet the rest, then
+    sixteen, and so on, until every pair of the block has been compared or is connected.
     """
-    where = F.struct("doc_id", "th", "line_no")
-    lines = lines_of(docs).where(F.length("norm") >= min_chars)
-    lines = materialise(lines.select("doc_id", "th", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), "norm"), "zstd")
-    # All sides of these joins are one grouping, exchanged once; they shuffle no more.
-    grouped = lines.where("h1 is not null and h2 is not null").groupBy("h1", "h2").agg(F.min(where).alias("first"), F.first("norm").alias("norm"))
-    some = lambda c: F.coalesce(c, F.array().cast("array<long>"))
-    signed = grouped.join(simhash(grouped), ["h1", "h2"], "left").join(bands(grouped), ["h1", "h2"], "left")
-    classes = materialise(signed.withColumn("blocks", F.concat(some("blocks"), some("bands"))).drop("bands").withColumn("cid", F.monotonically_increasing_id()), "zstd")
-    every = materialise(lines.select("doc_id", "th", "line_no", "h1", "h2"))
-    release(lines)
-    blocks = classes.select("cid", F.length("norm").alias("size"), F.explode("blocks").alias("v"))
-    stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("leader"), F.max("cid").alias("z")).where("leader < z").select("v", "leader"))
-    met = materialise(possible(blocks, "v", stars.select("v")).join(stars, "v").select("v", "cid", "size", "leader"))
-    active = met.select("cid").distinct()
-    # An inner join with distinct ids: a semi-join would be moved below the bitmap and shuffle all texts.
-    texts = materialise(possible(classes, "cid", active).select("cid", "norm").join(active, "cid"))
-    slim = materialise(classes.select("cid", "h1", "h2", "first"))
-    release(classes)
-
-    leaders = met.where("leader = cid").select("v", F.col("size").alias("most"))
-    stars_found = materialise(_verified(met.join(leaders, "v").where(f"leader <> cid and {_sizes('size', 'most', percent)}").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), texts, percent))
-    groups = connected_components(stars_found)
-    # What of a block isn't one group with the rest yet meets all of the block's other groups.
-    named = materialise(met.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").select("v", "cid", "size", "leader", F.coalesce("component", "cid").alias("own")))
-    mixed = named.groupBy("v").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("v")
-    open_ = materialise(named.join(mixed, "v"))
-    x, y = open_.select("v", F.col("cid").alias("a"), F.col("own").alias("own_a"), F.col("size").alias("size_a"), "leader"), open_.select("v", F.col("cid").alias("b"), F.col("own").alias("own_b"), F.col("size").alias("size_b"))
-    others = x.join(y, (x["v"] == y["v"]) & (F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & (F.col("a") != F.col("leader")) & F.expr(_sizes("size_a", "size_b", percent))).select("a", "b").distinct()
-    linked = stars_found.union(materialise(_verified(others, texts, percent)))
-    joined = materialise(connected_components(linked))
-    release(stars, texts)
-
-    # A group's first occurrence; other classes keep their own.
-    member = joined.withColumnRenamed("node", "cid").join(slim, "cid")
-    merged = materialise(member.join(member.groupBy("component").agg(F.min("first").alias("whole")), "component").select("h1", "h2", "whole"))
-    firsts = slim.select("h1", "h2", "first").join(merged, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("whole", "first").alias("first"))
-    return every.join(firsts, ["h1", "h2"]).where(where != F.col("first")).select("doc_id", "th", "line_no").distinct()
+    with scratch() as keep:
+        lines = lines_of(docs).withColumn("size", F.length("norm")).where(F.col("size") >= min_chars).withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
+        lines = materialise(with_blocks(lines).drop("norm"))
+        where = F.struct("doc_id", "th", "line_no")
+        grouped = lines.where("h1 is not null and h2 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "line_no", "size", "blocks")).alias("e"))
+        classes = materialise(grouped.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "e.*"))
+        blocks = classes.select("cid", "size", F.explode("blocks").alias("v"))
+        stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("leader"), F.max("cid").alias("z")).where("leader < z").select("v", "leader"))
+        met = materialise(possible(blocks, "v", stars.select("v")).join(stars, "v").select("v", "cid", "size", "leader"))
+        active = met.select("cid").distinct()
+        first = materialise(possible(classes.select("cid", "doc_id", "th", "line_no"), "cid", active).join(active, "cid").withColumn("key", F.xxhash64("doc_id", "th", "line_no")))
+        raw = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("key", F.xxhash64("i", "t", "no"))
+        raw = possible(raw, "key", first.select("key"))
+        found = raw.join(first, "key").where(F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")) & (F.col("no") == F.col("line_no")))
+        texts = materialise(found.select("cid", F.trim(normalised(F.col("line"))).alias("norm")).dropDuplicates(["cid"]))
+
+        own = met.where("leader = cid").select("v", F.col("size").alias("most"))
+        spokes = met.join(own, "v").where(f"leader <> cid and {_sizes('size', 'most', percent)}").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+        tested = materialise(spokes)
+        links = materialise(_verified(tested, texts, percent))
+        groups = materialise(connected_components(links))
+        rest, low, high = met.where("leader <> cid").select("v", "cid", "size"), 0, 4
+        while True:
+            # What of a block isn't one group goes on; its members keep their places over the rounds.
+            named = rest.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("own", F.coalesce("component", "cid")).drop("component")
+            mixed = named.groupBy("v").agg(F.min("own").alias("_low"), F.max("own").alias("_high")).where("_low < _high").select("v")
+            open_ = named.join(mixed, "v")
+            open_ = materialise(open_ if low else running_totals(open_, [F.col("cid")], [], ["v"]).withColumnRenamed("pos", "place"))
+            if open_.isEmpty():
+                break
+            x = open_.where(f"place < {high}").select("v", F.col("cid").alias("a"), F.col("own").alias("own_a"), F.col("size").alias("size_a"), F.col("place").alias("at"))
+            y = open_.select("v", F.col("cid").alias("b"), F.col("own").alias("own_b"), F.col("size").alias("size_b"), "place")
+            pairs = x.join(y, "v").where(f"at < place and own_a <> own_b and {_sizes('size_a', 'size_b', percent)}").select("a", "b").distinct()
+            pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
+            tested = tested.union(pairs)
+            links = materialise(links.union(_verified(pairs, texts, percent)))
+            groups = materialise(connected_components(links))
+            rest, low, high = open_.where(f"place >= {high}").drop("own"), high, high + 4 * (high - low)
+
+        # A group's first occurrence; other classes keep their own.
+        slim = classes.select("cid", "h1", "h2", F.struct("doc_id", "th", "line_no").alias("first"))
+        member = groups.withColumnRenamed("node", "cid").join(slim, "cid")
+        merged = materialise(member.join(member.groupBy("component").agg(F.min("first").alias("whole")), "component").select("h1", "h2", "whole"))
+        firsts = slim.select("h1", "h2", "first").join(merged, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("whole", "first").alias("first"))
+        return keep(materialise(lines.select("doc_id", "th", "line_no", "h1", "h2").join(firsts, ["h1", "h2"]).where(where != F.col("first")).select("doc_id", "th", "line_no").distinct()))
 
 
 def without_repeats(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> DataFrame:
@@ -153,7 +166,7 @@ def without_repeats(docs: DataFrame, percent: int = 90, min_chars: int = 40) ->
 
     Documents without repeats, and null or empty texts, keep their text as it is.
     """
-    gone = materialise(repeated_lines(docs, percent, min_chars)).groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("gone"))
+    gone = repeated_lines(docs, percent, min_chars).groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
     both = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")), "left")
     lines = F.split("text", "\n")

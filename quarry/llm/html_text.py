@@ -36,11 +36,60 @@ BARRIER = frozenset("table td th caption template html".split())  # end tags and
 TABLE_PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())  # outside of tables these tags count for nothing
 DEEPEST = 500  # as browsers do, deeper elements become siblings
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+INSIDE = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?")
+
+
+class _Tokens:
+    """Markup of a page in one pass: text counts for what no tag takes.
+
+    A tag ends at the first ``>`` outside of quotes. Where a tag has none up to the end of the page, its quotes
+    can't be trusted: from there on, tags end at the next ``>`` whatever stands before it, and where none follows
+    the rest is text. So no part of a page is searched again and again.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.quotes, self.last = source, True, source.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next markup from ``at`` on; without a name for comments."""
+        source = self.source
+        while (m := MARKUP.search(source, at)) is not None:
+            start = m.start()
+            if m[0] == "<!--":
+                end = source.find("-->", m.end())
+                return start, len(source) if end < 0 else end + 3, "", "", ""
+            if m[0] in ("<!", "<?"):
+                end = source.find(">", start)
+                return start, len(source) if end < 0 else end + 1, "", "", ""
+            if start > self.last:
+                return None
+            slash = "/" if m[0][1] == "/" else ""
+            name = NAME.match(source, m.end() - 1)
+            end = self._end(name.end())
+            if end >= 0:
+                return start, end + 1, slash, name[0], source[name.end() : end]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        start = at
+        while self.quotes:
+            m = INSIDE.search(self.source, at)
+            if m is not None and m[0] == ">":
+                return m.start()
+            close = -1 if m is None else self.source.find(m[0], m.end())
+            if close < 0:
+                self.quotes = False
+            at = close + 1
+        return self.source.find(">", start)
 
 
 class Element:
@@ -85,18 +134,17 @@ def parse(source: str) -> Element:
             if stack[i].tag in within:
                 return
 
-    at, end = 0, len(source)
+    at, end, tokens = 0, len(source), _Tokens(source)
     while at < end:
-        m = TOKEN.search(source, at)
+        m = tokens.next(at)
         if m is None:
             text(source[at:])
             break
-        text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text(source[at : m[0]])
+        at, slash, tag, own_attributes = m[1], m[2], m[3].lower(), m[4]
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if slash:
             if tag in ("html", "body"):
                 continue
             if tag == "head":
@@ -112,7 +160,7 @@ def parse(source: str) -> Element:
             continue
         if tag in ("html", "head", "body"):
             own = {"html": root, "head": head, "body": body}[tag]
-            own.attrs = _attributes(m[3]) | own.attrs
+            own.attrs = _attributes(own_attributes) | own.attrs
             if tag == "body":
                 in_body()
             continue
@@ -130,12 +178,12 @@ def parse(source: str) -> Element:
                     stack.append(_put(stack, Element("tbody", {})))
                 if tag != "tr" and stack[-1].tag in ("tbody", "thead", "tfoot"):
                     stack.append(_put(stack, Element("tr", {})))
-        element = _put(stack, Element(tag, _attributes(m[3])))
+        element = _put(stack, Element(tag, _attributes(own_attributes)))
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
             if tag == "textarea":
                 element.children.append(html.unescape(source[at : stop.start()]))
-            elif tag == "xmp":
+            elif tag in ("xmp", "style"):
                 element.children.append(source[at : stop.start()])
             at = stop.end()
         elif tag not in VOID and len(stack) < DEEPEST:
@@ -148,16 +196,58 @@ def _put(stack: list[Element], element: Element) -> Element:
     return element
 
 
+def _styles(e: Element, rules: dict[str, str]) -> None:
+    """Write into ``style`` of every element what the page's style sheets say of it, before its own.
+
+    Rules with a plain selector count (a tag, a class, an id, or a tag with one of these; lists of them), in the
+    order tag, class, id, and later ones after earlier ones; selectors with combinators or pseudo-classes don't."""
+    stack = [e]
+    while stack:
+        x = stack.pop()
+        keys = [x.tag]
+        for sign, names in ((".", x.attrs.get("class", "").split()), ("#", x.attrs.get("id", "").split()[:1])):
+            for n in names:
+                keys += [sign + n, x.tag + sign + n]
+        if said := [rules[k] for k in keys if k in rules]:
+            x.attrs["style"] = ";".join([*said, x.attrs.get("style", "")])
+        stack += [c for c in x.children if isinstance(c, Element)]
+
+
+def _rules(e: Element) -> dict[str, str]:
+    """Declarations of display and visibility by plain selector, from all style elements."""
+    sheets, stack = [], [e]
+    while stack:
+        x = stack.pop()
+        if x.tag == "style":
+            sheets.append("".join(c for c in x.children if isinstance(c, str)))
+        stack += [c for c in reversed(x.children) if isinstance(c, Element)]
+    out: dict[str, str] = {}
+    for sheet in sheets:
+        bare, at = [], 0
+        while (start := sheet.find("/*", at)) >= 0:
+            bare.append(sheet[at:start])
+            end = sheet.find("*/", start + 2)
+            at = len(sheet) if end < 0 else end + 2
+        bare.append(sheet[at:])
+        for m in RULE.finditer("".join(bare)):
+            if DISPLAY.search(m[2]) or VISIBILITY.search(m[2]):
+                for selector in m[1].split(","):
+                    if (k := SELECTOR.fullmatch(selector.strip())) and k[0]:
+                        key = (k[1] or "").lower() + (k[2] + k[3] if k[2] else "")
+                        out[key] = f"{out[key]};{m[2]}" if key in out else m[2]
+    return out
+
+
 def _shown(e: Element, visible: bool) -> tuple[bool, bool]:
     """Whether an element takes part, and whether text right in it shows."""
     a = e.attrs
     if e.tag in HIDDEN or "hidden" in a or (e.tag == "dialog" and "open" not in a) or (e.tag == "input"):
         return False, False
     if style := a.get("style"):
-        if NO_DISPLAY.search(style):
+        if (shown := DISPLAY.findall(style)) and shown[-1].lower() == "none":  # the last declaration holds
             return False, False
-        if m := VISIBILITY.search(style):
-            visible = m[1].lower() == "visible"
+        if seen := VISIBILITY.findall(style):
+            visible = seen[-1].lower() == "visible"
     return True, visible
 
 
@@ -270,7 +360,8 @@ def _text(e: Element, visible: bool) -> str:
 
 
 def _table(e: Element, visible: bool, depth: int) -> list[str]:
-    """Rows of cells in aligned columns, two spaces apart; a cell over several columns widens none. What stands in
+    """Rows of cells in aligned columns, two spaces apart; a cell over several columns widens the last of them
+    where they are too narrow for it. What stands in
     a table outside of cells comes before it, its caption first."""
     before, rows, held = _Lines(), [], {}
 
@@ -316,6 +407,12 @@ def _table(e: Element, visible: bool, depth: int) -> list[str]:
     for row in rows:
         for at, (lines, span) in row.items():
             width[at] = max(width.get(at, 0), max(map(len, lines), default=0) if span == 1 else 0)
+    for row in rows:
+        for at, (lines, span) in row.items():
+            if span > 1:
+                own = [k for k in range(at, at + span) if k in width]
+                last = own[-1]
+                width[last] += max(0, max(map(len, lines), default=0) - sum(width[k] for k in own) - 2 * (len(own) - 1))
     columns = [k for k in sorted(width) if width[k] or any(k in r and r[k][0] for r in rows)]
     out = list(before.lines)
     for row in rows:
@@ -341,6 +438,8 @@ def render(source: str | None) -> str:
         sys.setrecursionlimit(20 * DEEPEST)
     out = _Lines()
     root = parse(source)
+    if rules := _rules(root):
+        _styles(root, rules)
     taken, shows = _shown(root, True)
     if taken:
         _flow(root.children, out, shows, 0)
@@ -350,10 +449,10 @@ def render(source: str | None) -> str:
 
 def render_pages(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
     """pages with the rendered text of ``column`` instead of it, in column ``into``. Every row is kept; a null page
-    has the empty text."""
+    has the empty text. A column of pages that is already named ``into`` gives way to the rendered one."""
 
     @F.pandas_udf("string")
     def rendered(sources: pd.Series) -> pd.Series:
         return sources.map(render)
 
-    return pages.select(*(rendered(F.col(f"`{column}`")).alias(into) if c == column else F.col(f"`{c}`") for c in pages.columns))
+    return pages.select(*(rendered(F.col(f"`{column}`")).alias(into) if c == column else F.col(f"`{c}`") for c in pages.columns if c == column or c != into))

@@ -1,8 +1,10 @@
 """The corpus operators against brute force, over rows with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import html.parser
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -288,13 +290,75 @@ def test_toxicity(spark, docs, empty):
         ("</p>a</div></td>b<<c", "ab<<c"),
         ("<div>" * 3000 + "deep", "deep"),
         ("<a href='x>y'>l</a> <td>c", "l c"),
+        ("<style>/* x */ .h, #i{display:none} p.v{visibility:hidden}</style><b class='a h'>no</b><b id=i>no</b><p class=v>no<p class=h style='display:block'>yes", "yes"),
+        ("<table><tr><td colspan=2>a long title<td>x<tr><td>k<td>v<td>y</table>", "a long title  x\nk  v          y"),
+        ('<p title="a>b">c</p><i "d>e</i>', "c\n\ne"),
+        ("x<b y", "x<b y"),
     ],
 )
 def test_page_text(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a ">" ', "<!", "<!--", "<a x='", "<td>", "</p>", "&lt;", "<p a=b "])
+def test_long_broken_pages_take_linear_time(piece):
+    start = time.perf_counter()
+    html_text.render(piece * (300_000 // len(piece)))
+    assert time.perf_counter() - start < 10
+
+
+class Words(html.parser.HTMLParser):
+    """Visible words of a page, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.skip = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag in ("script", "style", "title", "noscript", "template", "svg") or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", ""):
+            self.skip.append(tag)
+        elif self.skip and tag == self.skip[-1]:
+            self.skip.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.skip and tag == self.skip[-1]:
+            self.skip.pop()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out += data.split()
+
+
+def test_pages_have_the_words_another_parser_sees(spark):
+    rng = random.Random(4)
+    tags = ["p", "div", "li", "b", "td", "section", "h2"]
+    for _ in range(60):
+        page, open_ = ["<html><head><title>t</title><style>p {color: red}</style></head><body>"], []
+        for _ in range(rng.randrange(80)):
+            kind = rng.randrange(6)
+            if kind == 0:
+                open_.append(rng.choice(["div", "section", "span"]))
+                page.append(f"<{open_[-1]}{rng.choice(['', ' hidden', ' class=x', ' style=display:none'])}>")
+            elif kind == 1 and open_:
+                page.append(f"</{open_.pop()}>")
+            elif kind == 2:
+                page.append(f"<{(t := rng.choice(['p', 'h2', 'li', 'em']))}>{prose(rng, 3)} &amp;</{t}>")
+            elif kind == 3:
+                page.append("<script>if (a < b) no()</script><!-- no <p> -->")
+            elif kind == 4:
+                page.append("<table><tr><td>one <td>two</table>" if rng.random() < 0.5 else "<ul><li>item<li>other</ul>")
+            else:
+                page.append(f" {prose(rng, 2)} <br>")
+        seen = Words()
+        seen.feed("".join(page))
+        got = [w for w in html_text.render("".join(page)).split() if w != "-"]
+        assert sorted(got) == sorted(seen.out)
+
+
 def test_pages(spark):
+    named = spark.createDataFrame([(1, "old", "<p>x")], "page_id long, text string, html string")
+    assert html_text.render_pages(named).collect() == [(1, "x")]
     df = spark.createDataFrame([(1, "u", "<p>x", "t"), (1, None, None, None)], "page_id long, url string, html string, text2 string")
     out = html_text.render_pages(df).collect()
     assert sorted((r.page_id, r.text) for r in out) == [(1, ""), (1, "x")]

@@ -28,43 +28,53 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
-def _latest_before(log: DataFrame) -> DataFrame:
-    """Add ``last``: (ts, record_id) of the latest full response with the same key and a smaller ts.
+def _latest_before(log: DataFrame, what: list[str]) -> DataFrame:
+    """Add ``last``: what (a struct of columns) the latest full response with the same key and a smaller ts has.
 
     Records are range-partitioned by key and time, so a key with a third of all records spans many partitions:
     windows run per partition and key, and what each partition ends with is carried on by key over the partitions.
+    Of responses at the same time the largest record_id counts, then the largest digest and header text.
     """
     part = materialise(log.repartitionByRange(partitions(log.sparkSession), "key", "ts").withColumn("part", F.spark_partition_id()))
-    full = F.when(F.col("full"), F.struct("ts", "record_id"))
+    order = F.struct("ts", "record_id", "digest", "sent")
+    full = F.when(F.col("full"), F.struct(*what))
     inside = Window.partitionBy("part", "key").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    ends = part.where("full").groupBy("key", "part").agg(F.max(F.struct("ts", "record_id")).alias("end"))
-    begins = part.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).join(ends, ["key", "part"], "left")
-    carried = begins.select("key", "part", F.max("end").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    return part.withColumn("_own", F.max(full).over(inside)).join(carried, ["key", "part"]).withColumn("last", F.coalesce("_own", "carry")).drop("_own", "carry", "part")
+    ends = part.where("full").groupBy("key", "part").agg(F.max(order).alias("at"), F.max_by(F.struct(*what), order).alias("end"))
+    begins = part.select("key", "part").distinct().join(ends, ["key", "part"], "left")
+    over = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = materialise(begins.select("key", "part", F.last("end", ignorenulls=True).over(over).alias("carry")))
+    own = part.withColumn("_own", F.max_by(full, F.when(F.col("full"), order)).over(inside))
+    return own.join(carried, ["key", "part"]).withColumn("last", F.coalesce("_own", "carry")).drop("_own", "carry", "part")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Resolve the not-modified revisits among records (record_id, url, ts, kind, headers, digest).
 
     ``kind`` is 'response' (a full one) or 'revisit'; ``ts`` is a timestamp or a number; ``headers`` maps field
-    names to values, names in any case. Returns a row for each revisit: record_id, key, ts, refers_to, outcome
-    and merged headers. The reference is the latest response of the canonical URL with a smaller ts (of equal ones
-    the largest record_id). Outcomes: 'resolved', where the first validator that both have agrees (ETag compared
-    weakly, then Last-Modified, then payload digest); 'mismatch', where it doesn't; 'unverified', where they have
-    none in common; 'missing', where there is no earlier response or url or ts is null. Headers merge only where
-    resolved: the response's, with permitted fields replaced by the revisit's. Responses without record_id, url
-    or ts are left out; of responses that repeat a record_id one counts. An empty table gives an empty result.
+    names to values, names in any case (of names that differ in case only, the first in code point order counts).
+    Returns a row for each revisit: record_id, key, ts, refers_to, outcome and merged headers. The reference is the
+    latest response of the canonical URL with a smaller ts (of equal ones the largest record_id). Outcomes:
+    'resolved', where the first validator that both have agrees (ETag compared weakly, then Last-Modified, then
+    payload digest); 'mismatch', where it doesn't; 'unverified', where they have none in common; 'missing', where
+    there is no earlier response or url or ts is null. Headers merge only where resolved: the response's, with
+    permitted fields replaced by the revisit's. Responses without record_id, url or ts are left out; a response
+    that repeats a record_id stands for itself, and so does a revisit. Further columns of records are ignored. An
+    empty table gives an empty result. What a revisit needs of its response travels with the window, so no join by
+    the response gathers the revisits of a hot URL.
     """
-    lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    ts = F.col("ts").cast("timestamp").cast("double") if dict(records.dtypes)["ts"].startswith("timestamp") else F.col("ts")
-    micros = (ts * 1000000).cast("long") if dict(records.dtypes)["ts"].startswith("timestamp") else ts.cast("long")
-    named = records.select("record_id", canonical_url(F.col("url")).alias("key"), micros.alias("ts"), (F.col("kind") == "response").alias("full"), F.col("kind").alias("kind"), lower.alias("headers"), "digest")
-    slim = named.where("key is not null and ts is not null and record_id is not null and kind in ('response', 'revisit')").select("record_id", "key", "ts", "full").distinct()
-    known = _latest_before(slim).where("not full").select("record_id", "key", "ts", "last.record_id").toDF("record_id", "key", "ts", "refers_to")
-    revisits = named.where("kind = 'revisit'").drop("full", "kind")
-    asked = revisits.alias("v").join(known.alias("k"), (F.col("v.record_id") == F.col("k.record_id")) & (F.col("v.key") == F.col("k.key")) & (F.col("v.ts") == F.col("k.ts")), "left").select("v.*", "k.refers_to")
-    stored = named.where("full and record_id is not null").select(F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"), F.col("digest").alias("stored_digest")).dropDuplicates(["refers_to"])
-    both = asked.join(stored, "refers_to", "left")
+    entries = F.array_sort(F.map_entries("headers"))
+    lower = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    ts = F.col("ts").cast("long")
+    if dict(records.dtypes)["ts"].startswith("timestamp"):
+        ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    named = records.where("kind in ('response', 'revisit')").select("record_id", canonical_url(F.col("url")).alias("key"), ts.alias("ts"), (F.col("kind") == "response").alias("full"), F.coalesce(lower, F.array().cast("array<struct<key:string,value:string>>")).alias("low"), "digest")
+    first = F.filter("low", lambda e, i: F.array_position(F.transform("low", lambda x: x["key"]), e["key"]) == i + 1)
+    named = named.withColumn("sent", first).drop("low")
+    placed = F.col("key").isNotNull() & F.col("ts").isNotNull() & (F.col("record_id").isNotNull() | ~F.col("full"))
+    met = _latest_before(named.where(placed), ["record_id", "digest", "sent"]).where("not full")
+    empty = F.lit(None).cast(met.schema["last"].dataType)
+    both = met.unionByName(named.where(~placed & ~F.col("full")).withColumn("last", empty))
+    both = both.select("record_id", "key", "ts", F.col("last.record_id").alias("refers_to"), F.map_from_entries("sent").alias("headers"), "digest", F.map_from_entries("last.sent").alias("stored"), F.col("last.digest").alias("stored_digest"))
     outcome = F.when(F.col("refers_to").isNull(), "missing")
     for a, b in ((_weak(F.col("headers")["etag"]), _weak(F.col("stored")["etag"])), (F.col("headers")["last-modified"], F.col("stored")["last-modified"]), (F.col("digest"), F.col("stored_digest"))):
         outcome = outcome.when(a.isNotNull() & b.isNotNull(), F.when(a == b, "resolved").otherwise("mismatch"))

@@ -365,38 +365,79 @@ def test_pages(spark):
     assert html_text.render_pages(df.limit(0)).count() == 0
 
 
+def brute_canonical(url):
+    """As the docstring of canonical_url says, by urllib's splitting."""
+    if url is None:
+        return None
+    bare = url.strip(" ").split("#")[0]
+    scheme, mark, rest = bare.partition("://")
+    rest = rest if mark and scheme and scheme.replace("+", "").isalnum() else bare
+    before, ask, query = rest.partition("?")
+    host, slash, path = before.partition("/")
+    host = host.lower().rpartition("@")[2].removeprefix("www.")
+    host = host.removesuffix(":80") if host.endswith(":80") else host.removesuffix(":443")
+    kept = sorted(p for p in query.split("&") if p and not (p.split("=")[0] in ("ref", "fbclid", "gclid", "sessionid") or p.split("=")[0].startswith("utm_")))
+    return host + (slash + path).rstrip("/") + ("?" + "&".join(kept) if kept else "")
+
+
 def brute_revisits(records):
     from collections import defaultdict
 
+    def low(headers):
+        out = {}
+        for k in sorted(headers or {}):
+            out.setdefault(k.lower(), headers[k])
+        return out
+
     full = defaultdict(list)
     for r in records:
-        if r["kind"] == "response" and r["url"] and r["ts"] is not None:
-            full[r["url"]].append((r["ts"], r["record_id"], r))
-    out = {}
+        if r["kind"] == "response" and r["url"] is not None and r["ts"] is not None and r["record_id"] is not None:
+            full[brute_canonical(r["url"])].append(r)
+    out = []
     for r in records:
-        if r["kind"] == "revisit":
-            best = max(((t, i, x) for t, i, x in full.get(r["url"], []) if r["ts"] is not None and t < r["ts"]), key=lambda y: y[:2], default=None)
-            out[r["record_id"]] = (best and best[1], "missing" if best is None else "resolved" if (r["headers"] or {}).get("ETag") == best[2]["headers"].get("etag") else "mismatch")
-    return out
+        if r["kind"] != "revisit":
+            continue
+        earlier = [x for x in full.get(brute_canonical(r["url"]), []) if r["ts"] is not None and x["ts"] < r["ts"]]
+        if not earlier:
+            out.append((r["record_id"], None, "missing", None))
+            continue
+        best = max(earlier, key=lambda x: (x["ts"], x["record_id"], x["digest"] or ""))
+        mine, theirs = low(r["headers"]), low(best["headers"])
+        weak = lambda t: None if t is None else t.strip().removeprefix("W/")
+        outcome = "unverified"
+        for a, b in ((weak(mine.get("etag")), weak(theirs.get("etag"))), (mine.get("last-modified"), theirs.get("last-modified")), (r["digest"], best["digest"])):
+            if a is not None and b is not None:
+                outcome = "resolved" if a == b else "mismatch"
+                break
+        merged = theirs | {k: v for k, v in mine.items() if k in warc.PERMITTED} if outcome == "resolved" else None
+        out.append((r["record_id"], best["record_id"], outcome, merged and sorted(merged.items())))
+    return sorted(out, key=str)
 
 
 def test_revisits(spark):
     rng = random.Random(3)
+    urls = ["http://hot.com/x"] * 12 + ["https://www.hot.com:443/x/?utm_source=1#f", "b.com/y?b=1&a=2", "http://u@B.com/y?a=2&b=1&ref=z", "c.com/z", None]
     records = []
-    for i in range(400):
-        kind = rng.choice(["response", "revisit"])
-        tag = rng.choice(["a", "b"])
-        records.append({"record_id": i, "url": rng.choice(["hot.com/x"] * 3 + ["b.com/y", "c.com/z", None]), "ts": rng.choice([None, *range(60)]), "kind": kind, "headers": {"etag" if kind == "response" else "ETag": tag, "Content-Type": "t", "Date": str(i)}, "digest": None})
-    df = spark.createDataFrame(records, "record_id long, url string, ts long, kind string, headers map<string,string>, digest string")
-    got = {r.record_id: r for r in warc.resolve_revisits(df).collect()}
+    for i in range(900):
+        headers = {"Content-Type": "t", "Date": str(i), "VARY": "v", "vary": "w"}
+        if rng.random() < 0.5:
+            headers[rng.choice(["etag", "ETag"])] = rng.choice(["a", "W/a", "b"])
+        if rng.random() < 0.5:
+            headers["Last-Modified"] = rng.choice(["m", "n"])
+        records.append({"record_id": rng.choice([i, i, i, 7, None]) if i % 2 else i, "url": rng.choice(urls), "ts": rng.choice([None, *range(300)]), "kind": rng.choice(["response", "revisit", "revisit", "other"]), "headers": rng.choice([headers, headers, headers, None, {}]), "digest": rng.choice([None, "d", "e"]), "key": "k", "part": 1, "full": "x", "last": "y"})
+    df = spark.createDataFrame(records, "record_id long, url string, ts long, kind string, headers map<string,string>, digest string, key string, part int, full string, last string")
+    shown = lambda rows: sorted(((r.record_id, r.refers_to, r.outcome, r.headers and sorted(r.headers.items())) for r in rows), key=str)
     want = brute_revisits(records)
-    assert {k: (r.refers_to, r.outcome) for k, r in got.items()} == want
-    one = next(r for r in got.values() if r.outcome == "resolved")
-    assert one.headers == {"etag": one.headers["etag"], "content-type": "t", "date": str(one.record_id)}
+    assert {w[2] for w in want} == {"missing", "resolved", "mismatch", "unverified"}
+    assert shown(warc.resolve_revisits(df).collect()) == want
+    timed = df.withColumn("ts", F.timestamp_micros(F.col("ts") + 1_700_000_000_000_001))
+    assert shown(warc.resolve_revisits(timed).collect()) == want
     assert warc.resolve_revisits(df.limit(0)).count() == 0
     url = lambda u: spark.createDataFrame([(u,)], "u string").select(warc.canonical_url(F.col("u"))).first()[0]
     assert url("HTTPS://user@WWW.Ex.com:443/a/b/?utm_source=x&b=2&a=1#f") == "ex.com/a/b?a=1&b=2"
     assert url(None) is None
+    long = "http://e.com/" + "x" * 100_000
+    assert url(long) == long[7:]
     assert spark.createDataFrame([], "page_id long, url string, html string").transform(warc.resolved_pages).count() == 0
 
 

@@ -12,7 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, materialise, release, running_totals
+from quarry.llm.common import batches_of, connected_components, materialise, running_totals, scratch
+
+PASSES = 4  # over the signatures, a share of them each: so much less room is taken at a time
+BATCH = 256  # rows in an Arrow batch of texts or token sets
+WIDEST = 1 << 15  # bits of a token bitmap; what exceeds its distinct bits is counted as excess
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
@@ -27,7 +31,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(word) > 64:
+            return xxhash.xxh3_64_intdigest(word)
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -171,7 +177,7 @@ def tree_links(sets: list[np.ndarray], labels: list[int], t: Threshold, sides: l
             x = parent[x]
         return x
 
-    width = 1 << max(6, (2 * max(map(len, sets))).bit_length())
+    width = min(WIDEST, 1 << max(6, (2 * max(map(len, sets))).bit_length()))
     if sides is None:
         top = tree(sets, labels, width)
         stack = [(top, top)]
@@ -221,78 +227,93 @@ def _sets(docs: DataFrame, k: int, t: Threshold, sign: bool) -> DataFrame:
     return docs.mapInPandas(make, "id long, h long, n long, a array<long>")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chunk: int = 2048) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chunk: int = 500_000) -> DataFrame:
     """(doc_id, h, n_shingles, component_id) for every row of (doc_id, text); h is xxhash64 of the text.
 
     Two documents link when den * intersection >= num * union of their sets of k-word shingles; component_id
     is the smallest doc_id reachable by links. Without words a document links with nothing. A null text has no
-    words; a null doc_id takes no part and has a null component. Rows that repeat a doc_id are one node. An
-    empty table gives an empty result. Exact for all sizes; there is no cap on partners or groups.
+    words; a null doc_id takes no part and has a null component. Rows that repeat a doc_id are one node, with the
+    links of all their texts. An empty table gives an empty result. Exact for all sizes; there is no cap on
+    partners or groups.
 
     Equal texts are first put under their smallest id. Texts then sign equal parts of their sets (Threshold),
     so all links lie inside the components of the graph "shares a signature with the signature's least id"; the
     members of a signature are never paired with each other. Those star edges are verified, which settles
     groups of copies in linear work. What is left, components with several verified groups, is laid out in
-    chunks of bounded size; chunks, and pairs of chunks that hold different groups of one component, are
+    chunks of about ``chunk`` tokens; chunks, and pairs of chunks that hold different groups of one component, are
     joined by signature trees.
     """
-    spark = docs.sparkSession
     t = Threshold(num, den)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    slim = materialise(keyed.select("id", "h", F.xxhash64(F.lit(7), "text").alias("h2")))
-    least = slim.groupBy("h", "h2").agg(F.min("id").alias("rep"))
-    member = materialise(slim.join(least, ["h", "h2"]).select("id", "h", "rep"))
-    first = member.where("id = rep").select("id", "h").distinct()
-    own = keyed.join(first, ["id", "h"], "left_semi")
-    signed = materialise(_sets(own, k, t, True))
-
-    signs = signed.select("id", F.explode("a").alias("sig"))
-    stars = materialise(signs.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a"))
-    edges = materialise(signs.join(stars, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    release(stars)
-    near = materialise(connected_components(edges))  # holds every possible link
-    sets = materialise(_sets(keyed.join(near.select(F.col("node").alias("id")), "id", "left_semi").join(first, ["id", "h"], "left_semi"), k, t, False).withColumnRenamed("a", "tokens"))
-    left, right = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
-    inter = F.size(F.array_intersect("ta", "tb"))
-    verified = materialise(edges.join(right, "b").join(left, "a").where(den * inter >= num * (F.size("ta") + F.size("tb") - inter)).select("a", "b").distinct())
-    groups = materialise(connected_components(verified))
-
-    named = near.join(groups.withColumnRenamed("component", "label"), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("near"), F.coalesce("label", "node").alias("label"))
-    open_ = named.groupBy("near").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a < _z").select("near")
-    loose = named.join(open_, "near").join(sets.select("id", "n", "h"), "id")
-    laid = materialise(running_totals(loose, [F.col("near"), F.col("label"), F.col("n"), F.col("id"), F.col("h")], []).withColumn("chunk", F.expr(f"pos div {chunk}")))
-    parts = laid.groupBy("near", "chunk").agg(F.min("label").alias("la"), F.max("label").alias("lz"), F.min("n").alias("low"), F.max("n").alias("high"))
-    last = parts.groupBy("near").agg(F.max("chunk").alias("last"))
-    later = parts.join(last, "near").where("chunk < last").withColumn("other", F.explode(F.expr("sequence(chunk + 1, last)")))
-    also = parts.select("near", F.col("chunk").alias("other"), F.col("la").alias("oa"), F.col("lz").alias("oz"), F.col("low").alias("olow"), F.col("high").alias("ohigh"))
-    cross = later.join(also, ["near", "other"]).where(f"not (la = lz and oa = oz and la = oa) and {den} * high >= {num} * olow and {den} * ohigh >= {num} * low")
-    tasks = cross.select("near", F.col("chunk").alias("i"), F.col("other").alias("j")).select("near", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side")))).alias("e")).select("near", "i", "j", "e.*")
-    rows = laid.select("near", "chunk", "label", "id", "h")
-    inside = rows.select("*", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"))
-    across = rows.join(tasks, ["near", "chunk"]).select("near", "chunk", "label", "id", "h", "i", "j", "side")
-    work = inside.union(across).join(sets.select("id", "h", "tokens"), ["id", "h"])
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        within = frame["i"].iloc[0] == frame["j"].iloc[0]
-        for _, own in frame.groupby("near"):
-            found = [np.asarray(x, np.int64).view(np.uint64) for x in own["tokens"]]
-            ids = own["id"].to_numpy()
-            out += [(ids[x], ids[y]) for x, y in tree_links(found, own["label"].tolist(), t, None if within else own["side"].tolist())]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    joined = materialise(work.groupBy("i", "j").applyInPandas(search, "a long, b long"))
-    final = connected_components(verified.union(joined))
-    count = signed.groupBy("id", "h").agg(F.max("n").alias("n_shingles")).withColumnRenamed("id", "rep")
-    named = member.join(count, (member["rep"] == count["rep"]) & (member["h"] == count["h"]), "left").select(member["id"], member["h"], member["rep"], F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"))
-    home = F.when((F.col("n_shingles") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
-    return named.join(final, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("doc_id"), "h", "n_shingles", home.alias("component_id"))
+    with scratch() as keep, batches_of(docs.sparkSession, BATCH):
+        text = F.coalesce("text", F.lit(""))
+        keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+        slim = keyed.select("id", "h", F.xxhash64(F.lit(7), "text").alias("h2"))
+        least = slim.groupBy("h", "h2").agg(F.min("id").alias("rep"))
+        member = materialise(slim.join(least, ["h", "h2"]).select("id", "h", "rep"))
+        first = member.where("id = rep").select("id", "h").distinct()
+        signed = materialise(_sets(keyed.join(first, ["id", "h"], "left_semi"), k, t, True))
+
+        edges = None
+        for share in range(PASSES):
+            signs = signed.select("id", F.explode("a").alias("sig")).where(F.pmod("sig", F.lit(PASSES)) == share)
+            stars = signs.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
+            own = materialise(signs.join(stars, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+            edges = own if edges is None else edges.union(own)
+        edges = materialise(edges.distinct())
+        near = materialise(connected_components(edges))  # holds every possible link
+        alive = near.select(F.col("node").alias("id"))
+        sets = materialise(_sets(keyed.join(alive, "id", "left_semi").join(first, ["id", "h"], "left_semi"), k, t, False).withColumnRenamed("a", "tokens"))
+        left, right = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
+        # Sizes are compared before any token set is sent to an edge.
+        size = sets.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        sized = edges.join(size.toDF("a", "la", "ha"), "a").join(size.toDF("b", "lb", "hb"), "b").where(f"{den} * ha >= {num} * lb and {den} * hb >= {num} * la").select("a", "b")
+        inter = F.size(F.array_intersect("ta", "tb"))
+        verified = materialise(sized.join(right, "b").join(left, "a").where(den * inter >= num * (F.col("na") + F.col("nb") - inter)).select("a", "b").distinct())
+        # Rows of one doc_id that stand under different ids are one node.
+        spread = member.groupBy("id").agg(F.min("rep").alias("_a"), F.max("rep").alias("_z")).where("_a < _z").select("id")
+        nodes = materialise(member.join(spread, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct())
+        groups = materialise(connected_components(verified.union(nodes)))
+
+        named = near.join(groups.withColumnRenamed("component", "label"), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("near"), F.coalesce("label", "node").alias("label"))
+        open_ = named.groupBy("near").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a < _z").select("near")
+        loose = named.join(open_, "near").join(sets.select("id", "n", "h"), "id").withColumn("room", F.col("n") + 64)
+        laid = materialise(running_totals(loose, [F.col("near"), F.col("label"), F.col("n"), F.col("id"), F.col("h")], ["room"]).withColumn("chunk", F.expr(f"before_room div {chunk}")))
+        parts = laid.groupBy("near", "chunk").agg(F.min("label").alias("la"), F.max("label").alias("lz"), F.min("n").alias("low"), F.max("n").alias("high"))
+        last = parts.groupBy("near").agg(F.max("chunk").alias("last"))
+        later = parts.join(last, "near").where("chunk < last").withColumn("other", F.explode(F.expr("sequence(chunk + 1, last)")))
+        also = parts.select("near", F.col("chunk").alias("other"), F.col("la").alias("oa"), F.col("lz").alias("oz"), F.col("low").alias("olow"), F.col("high").alias("ohigh"))
+        cross = later.join(also, ["near", "other"]).where(f"not (la = lz and oa = oz and la = oa) and {den} * high >= {num} * olow and {den} * ohigh >= {num} * low")
+        tasks = cross.select("near", F.col("chunk").alias("i"), F.col("other").alias("j")).select("near", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side")))).alias("e")).select("near", "i", "j", "e.*")
+        rows = laid.select("near", "chunk", "label", "id", "h")
+        inside = rows.select("*", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"))
+        across = rows.join(tasks, ["near", "chunk"]).select("near", "chunk", "label", "id", "h", "i", "j", "side")
+        work = inside.union(across).join(sets.select("id", "h", "tokens"), ["id", "h"])
+
+        def search(frame: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            within = frame["i"].iloc[0] == frame["j"].iloc[0]
+            for _, own in frame.groupby("near"):
+                found = [np.asarray(x, np.int64).view(np.uint64) for x in own["tokens"]]
+                ids = own["id"].to_numpy()
+                out += [(ids[x], ids[y]) for x, y in tree_links(found, own["label"].tolist(), t, None if within else own["side"].tolist())]
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        joined = materialise(work.groupBy("i", "j").applyInPandas(search, "a long, b long"))
+        final = connected_components(verified.union(nodes).union(joined))
+        count = signed.groupBy("id", "h").agg(F.max("n").alias("n_shingles")).withColumnRenamed("id", "rep")
+        named = member.join(count, (member["rep"] == count["rep"]) & (member["h"] == count["h"]), "left").select(member["id"], member["h"], member["rep"], F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"))
+        # An id is a node of its own where its rows stand under several ids, else it stands under its representative.
+        homes = named.join(final, F.col("rep") == F.col("node"), "left").drop("node")
+        alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
+        out = homes.select(F.col("id").alias("doc_id"), "h", "n_shingles", F.when(alone, F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+        several = out.groupBy("doc_id").agg(F.min("component_id").alias("_low"), F.max("component_id").alias("_high")).where("_low < _high").select("doc_id", "_low")
+        return keep(materialise(out.join(several, "doc_id", "left").select("doc_id", "h", "n_shingles", F.coalesce("_low", "component_id").alias("component_id"))))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group, rows without doc_id as well; a doc_id is kept once."""
+    """The documents whose doc_id is the smallest of their group, rows without doc_id as well. Of rows that repeat
+    such a doc_id, which are one node, the one whose text has the least hash is kept, once."""
     groups = similar_groups(docs, k, num, den)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("_h"))
+    kept = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(keep, ["doc_id", "_h"], "left_semi").drop("_h").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)

@@ -74,7 +74,7 @@ def brute_groups(pairs, k, num, den):
     return {i: root(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "num", "den", "chunk"), [(3, 9, 10, 2048), (5, 4, 5, 3)])
+@pytest.mark.parametrize(("k", "num", "den", "chunk"), [(3, 9, 10, 500_000), (5, 4, 5, 300)])
 def test_ngram_join(spark, docs, empty, k, num, den, chunk):
     rng = random.Random(k)
     near = [prose(rng, 60)]
@@ -95,6 +95,17 @@ def test_ngram_join(spark, docs, empty, k, num, den, chunk):
         assert ngram_join.one_of_each_group(empty, k, num, den).columns == empty.columns
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    rng = random.Random(31)
+    x, y, z = (prose(rng, 40) for _ in range(3))
+    rows = [(3, x), (5, x), (5, y), (9, y), (11, z), (11, ""), (12, z), (13, None), (14, None), (12, z)]
+    data = spark.createDataFrame([(i, t, None, None, None, *["x"] * 11) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(data, 3, 9, 10).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 11: 11, 12: 11, 13: 13, 14: 14}
+    assert ngram_join.similar_groups(data, 3, 9, 10).count() == len(rows)
+    assert sorted(r.doc_id for r in ngram_join.one_of_each_group(data, 3, 9, 10).collect()) == [3, 11, 13, 14]
+
+
 def test_signature_tree_finds_what_all_pairs_find():
     rng = np.random.default_rng(3)
     t = ngram_join.Threshold(7, 10)

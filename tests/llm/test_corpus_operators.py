@@ -4,12 +4,14 @@ import hashlib
 import html.parser
 import itertools
 import random
+import struct
 import time
 import zlib
 
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import common, fingerprint, html_text, line_dedup, mixing, ngram_join, packing, shards, topk, toxicity, warc
@@ -227,19 +229,80 @@ def test_top_products_of_sparse_vectors_over_many_buckets(spark):
     assert {(r.query_id, r.vec_id, r.score) for r in got} == want
 
 
+def brute_digests(text):
+    """Pieces as the docstring of digests says, by hashes of the xxhash package."""
+    spark_hash = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    text = regex.sub(r"(?<=\S{16})(?=\S{16})", " ", text) if regex.search(r"\S{33}", text) else text
+    words = [w + "\n" if signed(spark_hash(w.encode())) % fingerprint.CUT == 0 else w for w in text.split(" ")]
+    return {signed(spark_hash(x.encode())) for p in regex.split(r"\n+", " ".join(words)) if (x := p.strip(" "))}
+
+
+def peel_texts(one, other):
+    """Digests that either sketch has alone, from the texts of two fingerprints; None if they can't be peeled."""
+
+    def of(text):
+        n, c, cells = text.split(";")
+        return int(n), int(c), [(int(p), int(k), int(x, 16), int(y, 16)) for p, k, x, y in (e.split(":") for e in cells.split(",") if e)]
+
+    def place(x, part, c):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", part), xxhash.xxh64_intdigest(struct.pack("<Q", x), 42))
+        return part * c + (h - (1 << 64) if h >> 63 else h) % c
+
+    def check(x):
+        return xxhash.xxh64_intdigest(struct.pack("<i", 99), xxhash.xxh64_intdigest(struct.pack("<Q", x), 42)) & 0xFFFFFFFF
+
+    sides = [of(one), of(other)]
+    c = min(s[1] for s in sides)
+    table = {}
+    for sign, (_, own, cells) in zip((1, -1), sides, strict=True):
+        for p, k, x, y in cells:
+            at = p // own * c + p % own % c
+            a = table.get(at, (0, 0, 0))
+            table[at] = (a[0] + sign * k, a[1] ^ x, a[2] ^ y)
+    found, moved = (set(), set()), True
+    while moved:
+        moved = False
+        for at, (k, x, y) in list(table.items()):
+            if abs(k) == 1 and table[at] == (k, x, y) and check(x) == y and place(x, at // c, c) == at:
+                found[k < 0].add(x)
+                for part in range(3):
+                    a = table.get(place(x, part, c), (0, 0, 0))
+                    table[place(x, part, c)] = (a[0] - k, a[1] ^ x, a[2] ^ y)
+                moved = True
+    return found if all(v == (0, 0, 0) for v in table.values()) else None
+
+
 def test_fingerprints(spark, docs, empty):
-    got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in fingerprint.fingerprint_documents(docs).collect()}
-    rows = sorted({(r.doc_id, r.text or "") for r in docs.collect()}, key=lambda r: (r[0] is not None, r[0] or 0))
+    rng = random.Random(77)
+    long = prose(rng, 60_000)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    more = docs.unionByName(spark.createDataFrame([(7000 + i, t, None, None, None, *["x"] * 11) for i, t in enumerate([long, long[:-500], han, han[:1500] + "x" + han[1500:], prose(rng, 400)])], SCHEMA))
+    out = fingerprint.fingerprint_documents(more).collect()
+    got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in out}
+    rows = sorted({(r.doc_id, r.text or "") for r in more.collect()}, key=lambda r: (r[0] is not None, r[0] or 0))
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    peeled = 0
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         k = len(t) // 4
         edited = t[: len(t) - k] + after[:k]
         r = got[(i, len(t), hashlib.sha256(edited.encode()).hexdigest())]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        a, b, n = map(brute_digests, (t, edited, after))
+        assert r.near_edited == pytest.approx(jaccard(a, b)) and r.near_next == pytest.approx(jaccard(a, n))
+        assert r.fingerprint.split(";")[0] == str(len(a)) and r.edited_fingerprint.split(";")[0] == str(len(b))
+        if (both := peel_texts(r.fingerprint, r.edited_fingerprint)) is not None:
+            peeled += 1
+            only = tuple(len(x) for x in both)
+            assert only == (len(a - b), len(b - a)) and r.near_edited == pytest.approx((len(a) - only[0]) / (len(a) + only[1]) if a or b else 1.0)
+    assert peeled >= 0.7 * len(rows)
+    near = {r.doc_id: r for r in out}
+    assert near[7000].near_next > 0.95 and near[7002].near_next > 0.95 and near[7000].near_edited > 0.5
     prints = {}
-    for r in fingerprint.fingerprint_documents(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
-        prints.setdefault(r.text or "", set()).add(r.fingerprint)
+    text_of = {(i, len(t)): t for i, t in rows}
+    for r in out:
+        prints.setdefault(text_of[r.doc_id, r.n_chars], set()).add(r.fingerprint)
     assert all(len(p) == 1 for p in prints.values())
-    assert fingerprint.fingerprint_documents(docs).count() == docs.count()
+    assert len(out) == more.count()
     assert fingerprint.fingerprint_documents(empty).count() == 0
 
 
@@ -252,11 +315,12 @@ def test_sketches_recover_differences(spark):
         rows.append((i, a, list(dict.fromkeys(b)), rng.sample(range(10**9), rng.randint(0, 50))))
     df = spark.createDataFrame(rows, "rid long, a array<long>, b array<long>, n array<long>")
     want = {(i, x, 1) for i, a, b, _ in rows for x in set(a) - set(b)} | {(i, x, -1) for i, a, b, _ in rows for x in set(b) - set(a)}
-    assert {tuple(r) for r in fingerprint.differing_digests(df, size=0.02).collect()} == want  # small sketches: retries must happen
-    for near, far, tries in ((0.05, 0.1, 6), (0.001, 0.001, 1)):  # retried, and settled from the sets
-        for r in fingerprint.compare(df, near, far, tries).collect():
-            a, b, n = (set(x) for x in rows[r.rid][1:])
-            assert (r.a_b, r.b_a, r.a_n, r.n_a) == (len(a - b), len(b - a), len(a - n), len(n - a))
+    assert {tuple(r) for r in fingerprint.differing_digests(df, 0.25).collect()} == want  # small sketches: retries must happen
+    for scale, tries in ((0.5, 6), (0.01, 1)):  # retried, and settled from the sets
+        found = {r.rid: r for r in fingerprint.compare(df, scale, tries).collect()}
+        for i, a, b, n in ((i, *map(set, x)) for i, *x in rows):
+            own = (len(a - b), len(b - a), len(a - n), len(n - a))
+            assert (i not in found and own == (0, 0, 0, 0)) or tuple(found[i])[1:] == own
 
 
 def test_toxicity(spark, docs, empty):

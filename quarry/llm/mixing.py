@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, running_totals
+from quarry.llm.common import materialise, running_totals, scratch
 
 WEIGHTS = (5, 2, 1)
+SHARDS = 64
 LEAST_BLOCKS = 256  # a source of fewer common blocks is cut into so many of its own, or into its tokens
 
 
@@ -33,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return level.withColumn("_water", water).select("source", "place", "source_size", "weight", F.when(F.col("_water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("_water") * F.col("weight"))).alias("target"))
 
 
-def seats(targets: DataFrame, shards: int = 64, blocks: int = 65536, per_source: int = 64) -> DataFrame:
+def seats(targets: DataFrame, shards: int = SHARDS, blocks: int = 65536, per_source: int = 64) -> DataFrame:
     """(place, shard, seats): Sainte-Lague quotas by highest quotients target / (2 j + 1).
 
     The number of blocks is ``blocks`` or ``per_source`` for each source, whichever is more, and splits
@@ -53,47 +54,59 @@ def seats(targets: DataFrame, shards: int = 64, blocks: int = 65536, per_source:
 
 
 def mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """Choose what a mixture takes of each row of (key, source, size): adds source_size, target, epochs, picks, taken.
+    """Choose what a mixture takes of each row of (key, source, size): adds source_size, target, epochs, picks, taken, shards.
 
     ``key`` tells rows apart and, with the seed, orders a source's rows; equal keys of one source stand in
     any order and must be equal rows. A source's tokens, laid out in that order, are cut into equal blocks.
-    Its seats pay for whole epochs first, the rest for blocks chosen by seeded hash; seats beyond ``most``
-    epochs lapse. The common block grows with the corpus: a source of fewer than ``LEAST_BLOCKS`` of them has
-    blocks of its own instead, and takes the number nearest to its target.
-    ``epochs`` counts whole copies and ``picks`` lists the further token ranges [start, stop) of the row. A
-    source without tokens has target 0; an empty table gives an empty result.
+    The quotas of the shards, in turn, take a source's blocks in the order of a seeded hash, whole epochs before
+    a part of one; seats beyond ``most`` epochs lapse. The common block grows with the corpus: a source of fewer
+    than ``LEAST_BLOCKS`` of them has blocks of its own instead, takes the number nearest to its target, and deals
+    them evenly to the shards. ``epochs`` counts whole copies, ``picks`` lists the further token ranges
+    [start, stop) of the row, and ``shards`` the shards that take any of its tokens. A source without tokens has
+    target 0; an empty table gives an empty result.
     """
-    rows = materialise(rows)
-    targets = materialise(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(most)))
-    quotas = seats(targets).groupBy("place").agg(F.sum("seats").alias("seats"))
-    plan = targets.join(quotas, "place", "left").fillna(0, ["seats"])
-    granted = F.greatest(F.lit(1), F.sum("seats").over(Window.partitionBy(F.lit(0))))
-    mean = share * F.sum("source_size").over(Window.partitionBy(F.lit(0))) / granted  # tokens a seat pays for
-    plan = plan.withColumn("n_blocks", F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / F.greatest(mean, F.lit(1e-9))))).otherwise(0).cast("long"))
-    small = (F.col("source_size") > 0) & (F.col("n_blocks") < LEAST_BLOCKS)
-    own = F.least(F.col("source_size"), F.lit(LEAST_BLOCKS)).cast("long")
-    plan = plan.withColumn("seats", F.when(small, F.round(F.col("target") / F.col("source_size") * own).cast("long")).otherwise(F.col("seats"))).withColumn("n_blocks", F.when(small, own).otherwise(F.col("n_blocks")))
-    # Within a source the blocks are equal to a token: the k-th ends at (k + 1) * source_size div n_blocks.
-    paid = F.least("seats", most * F.col("n_blocks"))
-    plan = materialise(plan.withColumn("epochs", F.expr(f"case when n_blocks > 0 then least(seats, {most} * n_blocks) div n_blocks else 0 end")).withColumn("extra", paid - F.col("epochs") * F.col("n_blocks")))
-    numbered = plan.where("extra > 0").withColumn("b", F.explode(F.expr("sequence(0L, n_blocks - 1)")))
-    chosen = Window.partitionBy("place").orderBy(F.xxhash64(F.lit(seed), "place", "b"), "b")
-    picked = numbered.withColumn("_r", F.row_number().over(chosen)).where("_r <= extra").select("place", "b")
-
-    # Sources are few beside rows, but unbounded: Spark picks the join by their size.
-    named = rows.join(plan.select(F.col("source").alias("_s"), "place"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    slim = named.select("place", "key", "size", F.md5(F.concat_ws("|", F.lit(seed), F.col("key").cast("string"))).alias("_h"))
-    laid = running_totals(slim, [F.col("_h"), F.col("key"), F.col("size")], ["size"], ["place"]).drop("_h", "pos")
-    laid = laid.join(plan.select("place", "source", "source_size", "target", "epochs", "extra", "n_blocks"), "place")
-    laid = laid.withColumn("_id", F.monotonically_increasing_id())
-    laid = materialise(laid)
-    # Block of token t: the b with b * S div n <= t < (b + 1) * S div n, that is ((t + 1) * n - 1) div S.
-    spans = laid.where("extra > 0 and size > 0").select("_id", "place", "before_size", "size", "source_size", "n_blocks", F.explode(F.expr("sequence(((before_size + 1) * n_blocks - 1) div source_size, ((before_size + size) * n_blocks - 1) div source_size)")).alias("b"))
-    spans = spans.join(picked, ["place", "b"])
-    cut = spans.select("_id", F.expr("greatest(b * source_size div n_blocks - before_size, 0L)").alias("start"), F.expr("least((b + 1) * source_size div n_blocks - before_size, size)").alias("stop")).where("start < stop")
-    cuts = cut.groupBy("_id").agg(F.sum(F.col("stop") - F.col("start")).alias("_part"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("picks"))
-    taken = (F.col("epochs") * F.col("size") + F.coalesce("_part", F.lit(0))).cast("long")
-    return laid.join(cuts, "_id", "left").select("key", "source", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "picks", taken.alias("taken"))
+    with scratch() as keep:
+        rows = materialise(rows)
+        targets = materialise(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(most)))
+        by_shard = materialise(seats(targets))
+        quotas = by_shard.groupBy("place").agg(F.sum("seats").alias("seats"))
+        plan = targets.join(quotas, "place", "left").fillna(0, ["seats"])
+        granted = F.greatest(F.lit(1), F.sum("seats").over(Window.partitionBy(F.lit(0))))
+        mean = share * F.sum("source_size").over(Window.partitionBy(F.lit(0))) / granted  # tokens a seat pays for
+        plan = plan.withColumn("n_blocks", F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / F.greatest(mean, F.lit(1e-9))))).otherwise(0).cast("long"))
+        small = (F.col("source_size") > 0) & (F.col("n_blocks") < LEAST_BLOCKS)
+        own = F.least(F.col("source_size"), F.lit(LEAST_BLOCKS)).cast("long")
+        plan = plan.withColumn("small", small).withColumn("seats", F.when(small, F.round(F.col("target") / F.col("source_size") * own).cast("long")).otherwise(F.col("seats"))).withColumn("n_blocks", F.when(F.col("small"), own).otherwise(F.col("n_blocks")))
+        # Within a source the blocks are equal to a token: the k-th ends at (k + 1) * source_size div n_blocks.
+        plan = plan.withColumn("paid", F.least("seats", most * F.col("n_blocks"))).withColumn("epochs", F.expr("case when n_blocks > 0 then paid div n_blocks else 0 end"))
+        plan = materialise(plan.withColumn("extra", F.col("paid") - F.col("epochs") * F.col("n_blocks")))
+
+        # Seat t of a source pays for the block that is t-th, modulo their number, by seeded hash; and it is of the
+        # shard whose quota covers t. Blocks are few beside rows, and no window orders a source's in one place.
+        numbered = plan.where("paid > 0").select("place", "n_blocks", "paid", "seats", "small", F.explode(F.expr("sequence(0L, n_blocks - 1)")).alias("b"))
+        ranked = running_totals(numbered.withColumn("_x", F.xxhash64(F.lit(seed), "place", "b")), [F.col("_x"), F.col("b")], [], ["place"])
+        seated = ranked.where("pos < paid").withColumn("epoch", F.explode(F.expr("sequence(0L, (paid - 1 - pos) div n_blocks)"))).withColumn("t", F.col("epoch") * F.col("n_blocks") + F.col("pos"))
+        up_to = Window.partitionBy("place").orderBy("shard")
+        held = by_shard.withColumn("_end", F.sum("seats").over(up_to)).select("place", "shard", F.explode(F.expr("sequence(_end - seats, _end - 1)")).alias("t"))
+        seated = seated.join(held, ["place", "t"], "left").select("place", "b", "epoch", F.when(F.col("small"), F.expr(f"cast(t * {SHARDS} div seats as int)")).otherwise(F.col("shard")).alias("shard"))
+        seated = materialise(seated)
+
+        # Sources are few beside rows, but unbounded: Spark picks the join by their size.
+        named = rows.join(plan.select(F.col("source").alias("_s"), "place"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        slim = named.select("place", "key", "size", F.md5(F.concat_ws("|", F.lit(seed), F.col("key").cast("string"))).alias("_h"))
+        laid = running_totals(slim, [F.col("_h"), F.col("key"), F.col("size")], ["size"], ["place"]).drop("_h", "pos")
+        laid = laid.join(plan.select("place", "source", "source_size", "target", "epochs", "paid", "n_blocks"), "place")
+        laid = materialise(laid.withColumn("_id", F.monotonically_increasing_id()))
+        # Block of token t: the b with b * S div n <= t < (b + 1) * S div n, that is ((t + 1) * n - 1) div S.
+        spans = laid.where("paid > 0 and size > 0").select("_id", "place", "before_size", "size", "source_size", "n_blocks", "epochs", F.explode(F.expr("sequence(((before_size + 1) * n_blocks - 1) div source_size, ((before_size + size) * n_blocks - 1) div source_size)")).alias("b"))
+        spans = spans.join(seated, ["place", "b"])
+        cut = spans.select("_id", "shard", F.expr("greatest(b * source_size div n_blocks - before_size, 0L)").alias("start"), F.expr("least((b + 1) * source_size div n_blocks - before_size, size)").alias("stop"), (F.col("epoch") == F.col("epochs")).alias("part")).where("start < stop")
+        picked = F.when(F.col("part"), F.struct("start", "stop"))
+        cuts = cut.groupBy("_id").agg(F.coalesce(F.sum(F.when(F.col("part"), F.col("stop") - F.col("start"))), F.lit(0)).alias("_part"), F.sort_array(F.collect_list(picked)).alias("picks"), F.sort_array(F.collect_set("shard")).alias("shards"))
+        cuts = cuts.withColumn("picks", F.when(F.size("picks") > 0, F.col("picks")))
+        taken = (F.col("epochs") * F.col("size") + F.coalesce("_part", F.lit(0))).cast("long")
+        out = laid.join(cuts, "_id", "left").select("key", "source", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "picks", taken.alias("taken"), "shards")
+        return keep(materialise(out))
 
 
 def word_count(text):
@@ -103,9 +116,9 @@ def word_count(text):
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Mix all documents; a document's size is its number of words. Rows that repeat a doc_id are taken each
-    on their own; a null doc_id is one more key."""
+    on their own; a null doc_id is one more key. ``shards`` lists the shards that take words of a document."""
     rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "source", word_count(F.col("text")).alias("size"))
-    return mix(rows).select(F.col("key.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(rows).select(F.col("key.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:

@@ -560,6 +560,8 @@ def test_mixing(spark, docs, empty):
     for s in sizes:
         assert taken[s] == pytest.approx(target[s], rel=0.02)
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in mixing.mix_documents(data.repartition(3)).collect())
+    assert all((r.shards is None) == (r.taken == 0) and all(0 <= x < mixing.SHARDS for x in r.shards or ()) for r in got)
+    assert {x for r in got for x in r.shards or ()} == set(range(mixing.SHARDS))
     out = mixing.mixed_texts(data)
     assert out.columns == data.columns and sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in got)
     edge = mixing.mix_documents(docs)

@@ -57,11 +57,18 @@ def find(value: object, path: str) -> list:
 
 
 def find_all(doc: Column, path: str) -> Column:
-    """array<string> of JSON texts at a path that get_json_object can't express, by Arrow batches."""
+    """array<string> of JSON texts at a path that get_json_object can't express, by Arrow batches; null for null and
+    for what isn't JSON."""
+
+    def one(doc: str | None) -> list[str] | None:
+        try:
+            return None if doc is None else [json.dumps(x, ensure_ascii=False) for x in find(json.loads(doc), path)]
+        except ValueError:
+            return None
 
     @F.pandas_udf("array<string>")
     def found(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda d: None if d is None else [json.dumps(x, ensure_ascii=False) for x in find(json.loads(d), path)])
+        return docs.map(one)
 
     return found(doc)
 

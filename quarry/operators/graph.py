@@ -88,14 +88,19 @@ def all_shortest_paths(edges: DataFrame, start: int, end: int, direction: str =
 
 
 def k_shortest_paths(edges: DataFrame, start: int, end: int, k: int, max_depth: int, direction: str = "out") -> DataFrame:
-    """The k simple paths of least weight with at most max_depth hops: (path, distance)."""
+    """The k simple paths of least weight with at most max_depth hops: (path, distance). Unless an edge has a negative
+    weight, paths longer than the k-th best so far aren't carried on."""
     steps = _steps(edges, direction).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    prune = steps.where("weight < 0").isEmpty()
     paths = edges.sparkSession.createDataFrame([([start], start, 0.0)], "path array<bigint>, src long, distance double")
     done = []
     for _ in range(max_depth):
         paths = _saved(paths.join(steps, "src").where(~F.array_contains("path", F.col("dst").cast("long"))).select(F.concat("path", F.array(F.col("dst").cast("long"))).alias("path"), F.col("dst").cast("long").alias("src"), (F.col("distance") + F.col("weight")).alias("distance")))
         done.append(paths.where(F.col("src") == end))
         paths = paths.where(F.col("src") != end)
+        best = reduce(DataFrame.union, done).select("distance").orderBy("distance").limit(k).collect() if prune else []
+        if len(best) == k:
+            paths = paths.where(F.col("distance") <= best[-1][0])
     return reduce(DataFrame.union, done).select("path", "distance").orderBy("distance", "path").limit(k)
 
 
@@ -270,14 +275,15 @@ def match(vertices: DataFrame, edges: DataFrame, pattern: str) -> DataFrame:
                 elif bool(back) == bool(ahead):
                     moves = moves.union(moves.select("e", F.col("_d").alias("_s"), F.col("_s").alias("_d")))
                 low = int(least or 1) if star else 1
-                high = (int(most) if most else (8 if dots or not least else low)) if star else 1
+                open_ = bool(star) and not most and bool(dots or not least)  # no upper bound: every pair that is reachable
+                high = (int(most) if most else low) if star else 1
                 single = moves.select("_s", "_d")
                 paths, walk = [], None
-                for n in range(1, high + 1):
+                for n in range(1, 0 if open_ else high + 1):
                     walk = single if walk is None else walk.withColumnRenamed("_d", "_m").join(single.withColumnsRenamed({"_s": "_m"}), "_m").select("_s", "_d")
                     if n >= low:
                         paths.append(walk)
-                reach = moves if not star else reduce(DataFrame.union, paths)
+                reach = _reachable(single, max(low, 1)) if open_ else moves if not star else reduce(DataFrame.union, paths) if paths else single.limit(0)
                 if low == 0:
                     same = vertices.select(F.col("id").alias("_s"), F.col("id").alias("_d"))
                     reach = reach.union(same)
@@ -297,6 +303,20 @@ def match(vertices: DataFrame, edges: DataFrame, pattern: str) -> DataFrame:
     return out
 
 
+def _reachable(steps: DataFrame, least: int) -> DataFrame:
+    """Distinct pairs (_s, _d) that a walk of at least so many steps joins."""
+    on = steps.withColumnsRenamed({"_s": "_m"}).distinct()
+    further = lambda pairs: pairs.withColumnRenamed("_d", "_m").join(on, "_m").select("_s", "_d").distinct()
+    new = steps.distinct()
+    for _ in range(least - 1):
+        new = further(new)
+    seen = new = _saved(new)
+    while not new.isEmpty():
+        new = _saved(further(new).join(seen, ["_s", "_d"], "left_anti"))
+        seen = seen.union(new)
+    return seen
+
+
 def _expression(text: str) -> Column:
     """A property or predicate in terms of match's columns: a.name is a.props['name'], id(a) is a.id."""
     parts = re.split(r"('[^']*')", text)

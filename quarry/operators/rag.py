@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Separators in the order in which they are tried.
 SEPARATORS = ("\n\n", "\n", ". ", ", ", " ", "")  # paragraph, line, sentence, phrase, word, character
 
 
@@ -124,13 +125,15 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def lightweight_rerank(query: list[str], content: Column, bm25: Column, vector: Column, chunk_index: Column, keyword: float = 0.4, text_weight: float = 0.3, vector_weight: float = 0.3, bonus: float = 0.05) -> Column:
-    """Keyword coverage (+0.2 where the content starts with a term) + BM25 + vector score + a bonus for first chunks
-    - 0.02 for contents over 1000 characters, held in 0..1."""
-    toks = F.split(F.lower(content), "[^a-z0-9]+")
-    terms = F.array(*(F.lit(t) for t in sorted(set(query))))
-    coverage = F.size(F.array_intersect(terms, toks)) / len(set(query))
-    prefix = F.when(F.array_contains(terms, toks[0]), 0.2).otherwise(0.0)
-    score = keyword * (coverage + prefix) + text_weight * bm25 + vector_weight * vector + F.when(chunk_index == 0, bonus).otherwise(0.0) - F.when(F.length(content) > 1000, 0.02).otherwise(0.0)
+    """Keyword coverage (the share of the query's words that the content holds as substrings; +0.2 where the content
+    begins with the whole query, in any case) + BM25 + vector score + a bonus for first chunks - 0.02 for contents
+    under 100 or over 2,000 bytes, held in 0..1."""
+    low = F.lower(content)
+    held = sum((F.contains(low, F.lit(w.lower())).cast("int") for w in query), F.lit(0))
+    coverage = held / max(len(query), 1)
+    prefix = F.when(F.startswith(low, F.lit(" ".join(query).lower())), 0.2).otherwise(0.0) if query else F.lit(0.0)
+    size = F.octet_length(content)
+    score = keyword * (coverage + prefix) + text_weight * bm25 + vector_weight * vector + F.when(chunk_index == 0, bonus).otherwise(0.0) - F.when((size < 100) | (size > 2000), 0.02).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 

@@ -38,7 +38,7 @@ S.sql("array_row_subscript", "SELECT vec_id, CAST(embedding[0] AS DOUBLE) AS fir
 S.sql("greatest_least", "SELECT l_orderkey, l_linenumber, greatest(l_quantity, l_tax * 100, 3) AS g, least(l_quantity, l_tax * 100) AS l FROM {lineitem}")
 S.sql("sublinks", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS top_order FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)")
 S.op("parameters", lambda t: t.spark.sql("SELECT s_suppkey, s_name FROM {s} WHERE s_nationkey = :n AND s_acctbal > :b", args={"n": 3, "b": 0.0}, s=t.supplier), "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3 AND s_acctbal > 0")
-S.op("set_returning_project", lambda t: t.embeddings.where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.col("x").cast("double").alias("x")), "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 20")
+S.op("set_returning_project", lambda t: t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.col("x").cast("double").alias("x")), "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
 S.op("text_filter_language", lambda t: t.part.where(filters.text_filter("(p_size >= 10 AND p_brand != 'Brand#11') OR NOT p_retailprice > 1000.5", set(t.part.columns))).select("p_partkey"), "SELECT p_partkey FROM part WHERE (p_size >= 10 AND p_brand <> 'Brand#11') OR NOT p_retailprice > 1000.5")
 S.op("json_filter_language", lambda t: t.part.where(filters.json_filter('{"p_size": {"$gte": 5, "$lt": 25}, "$or": [{"p_brand": {"$in": ["Brand#11", "Brand#22"]}}, {"p_retailprice": {"$between": [900, 1000]}}]}')).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_size >= 5 AND p_size < 25 AND (p_brand IN ('Brand#11', 'Brand#22') OR p_retailprice BETWEEN 900 AND 1000)")
 # Joins

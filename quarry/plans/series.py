@@ -41,7 +41,7 @@ _TAGS = lambda t: points(t).withColumn("tags", F.create_map(F.lit("type"), "even
 S.op("ts_tag_filter", lambda t: _TAGS(t).where((ts.tag_condition(F.col("tags"), "type", "IN", ["click", "view"]) | ts.tag_condition(F.col("tags"), "user", "REGEX", "^1[0-9]$")) & ts.tag_condition(F.col("tags"), "host", "NOT_EXISTS")).select("event_id"), f"SELECT event_id FROM {E} WHERE event_type IN ('click', 'view') OR regexp_matches(CAST(user_id AS VARCHAR), '^1[0-9]$')")
 S.op("ts_top_tags", lambda t: ts.top_tags(_TAGS(t), "tags", "type", 3), f"SELECT event_type AS tag, count(*) AS count FROM {E} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
 # Windows
-S.op("window_tumbling_filled", lambda t: win.tumbling(points(t).where("user_id = 3"), HOUR), f"WITH e AS (SELECT ms - ms % {HOUR} AS w FROM {E} WHERE user_id = 3) SELECT s.w AS window_start, s.w + {HOUR} AS window_end, count(e.w) AS value_count FROM (SELECT unnest(generate_series((SELECT min(w) FROM e), (SELECT max(w) FROM e), {HOUR})) AS w) s LEFT JOIN e ON e.w = s.w GROUP BY s.w")
+S.op("window_tumbling_filled", lambda t: win.tumbling(points(t), HOUR), f"WITH e AS (SELECT ms - ms % {HOUR} AS w FROM {E}) SELECT s.w AS window_start, s.w + {HOUR} AS window_end, count(e.w) AS value_count FROM (SELECT unnest(generate_series((SELECT min(w) FROM e), (SELECT max(w) FROM e), {HOUR})) AS w) s LEFT JOIN e ON e.w = s.w GROUP BY s.w")
 S.op("window_sliding", lambda t: win.sliding(points(t), 6 * HOUR, 2 * HOUR), f"WITH b AS (SELECT min(ms) AS a, max(ms) AS z FROM {E}), s AS (SELECT a + k * {2 * HOUR} AS w FROM b, range(100000) r(k) WHERE k = 0 OR a + k * {2 * HOUR} < z) SELECT w AS window_start, w + {6 * HOUR} AS window_end, (SELECT count(*) FROM {E} e WHERE e.ms >= w AND e.ms < w + {6 * HOUR}) AS value_count FROM s")
 S.op("window_session", lambda t: win.session(points(t), HOUR, by=["user_id"]), f"WITH g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) <= {HOUR} THEN 0 ELSE 1 END AS n FROM {E}), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ms) AS window_start, max(ms) AS window_end, count(*) AS value_count FROM s GROUP BY user_id, k")
 for how in ("avg", "max", "min", "sum", "count"):

@@ -203,3 +203,41 @@ def test_views(spark, tmp_path):
     views.changed("base")
     views.refresh()
     assert views.read("top").first().m == 8
+
+
+def test_open_walks_reach_everything(spark):
+    from quarry.operators import graph
+
+    vertices = spark.createDataFrame([(i, "v") for i in range(16)], "id long, label string")
+    edges = spark.createDataFrame([(i, i + 1, "n", 1.0) for i in range(14)], "src long, dst long, type string, weight double")
+    step = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
+    assert {tuple(r) for r in graph._reachable(step, 1).collect()} == {(a, b) for a in range(15) for b in range(a + 1, 15)}
+    assert {tuple(r) for r in graph._reachable(step, 3).collect()} == {(a, b) for a in range(15) for b in range(a + 3, 15)}
+    assert vertices.count() == 16
+
+
+def test_paths_without_json_are_null(spark):
+    from quarry.operators import document
+
+    docs = spark.createDataFrame([('{"a": {"k": 1}}',), ("{broken",), (None,)], "d string")
+    assert [r[0] for r in docs.select(document.find_all(F.col("d"), "$..k")).collect()] == [["1"], None, None]
+
+
+def test_approximate_searches_recall(spark):
+    import numpy as np
+
+    from quarry.operators import vector
+
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    m = np.array([r.embedding for r in rows], float)
+    index, centres = vector.ivf_index(df, 16)
+    parts = vector.product_quantiser(df, 16, 16, 64)
+    coded = df.withColumn("codes", vector.product_codes(F.col("embedding"), parts)).cache()
+    index = index.cache()
+    hits = [0, 0]
+    for q in (0, 100, 200, 300):
+        near = {rows[i].vec_id for i in np.argsort(((m - m[q]) ** 2).sum(1), kind="stable")[:10]}
+        for j, found in enumerate((vector.ivf_search(index, centres, "vec_id", list(m[q]), 10, 13), vector.two_stage(coded, "vec_id", list(m[q]), 10, len(rows) // 3, parts))):
+            hits[j] += len(near & {r.vec_id for r in found.collect()})
+    assert min(hits) >= 0.9 * 40, hits

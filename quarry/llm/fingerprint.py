@@ -22,7 +22,8 @@ LEAST = 4  # cells in each part of the smallest sketch
 GROWTH = 4  # of a sketch that couldn't be peeled
 CHECK = 99
 ROUNDS = 4  # rounds of peeling in one stage
-SHARES = 4  # of all pairs, sketched and peeled one after the other: so much less room is taken at a time
+LOOPS = 2  # such stages before a pair is left to a larger sketch
+SHARES = 2  # of all pairs, sketched and peeled one after the other: so much less room is taken at a time
 
 
 def digests(text: Column) -> Column:
@@ -79,18 +80,19 @@ def peel(cells: DataFrame, seed: int, rounds: int = ROUNDS, name: bool = True) -
 
 
 def _peeled(cells: DataFrame, seed: int, name: bool) -> tuple[DataFrame, DataFrame]:
-    """What peeling finds (rid, kind, pos, found, count) and the (rid, kind) it can't finish; rounds go on for those
-    alone that have cells left, as long as these get fewer."""
-    spark, found, before = cells.sparkSession, None, None
-    while True:
+    """What peeling finds (rid, kind, pos, found, count) and the (rid, kind) it doesn't finish in ``LOOPS`` stages, of
+    which the later ones see only pairs that have cells left."""
+    spark, found = cells.sparkSession, None
+    for loop in range(LOOPS):
         cells = materialise(peel(cells, seed, name=name))
         own = cells.where("pos < 0").select("rid", "kind", "pos", "found", "count")
         found = own if found is None else found.union(own)
         left = cells.where("pos >= 0")
-        n = left.count()
-        if not n or n == before:
-            return found, left.select("rid", "kind").distinct()
-        before, cells = n, left.repartition(partitions(spark), "rid")
+        if loop + 1 < LOOPS:
+            if left.isEmpty():
+                break
+            cells = left.repartition(partitions(spark), "rid")
+    return found, left.select("rid", "kind").distinct()
 
 
 def _sketched(pairs: DataFrame, seed: int, scale: float) -> DataFrame:

@@ -92,7 +92,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, bucket: int
 
     ``vectors`` has (vec_id, embedding); each component x counts as floor(1024 x). Vectors that are null, or
     hold null or non-finite components, take no part, nor do rows without vec_id. Ties go to smaller ids. Rows
-    that repeat a vec_id all take part, but a query meets no row of its own id. Vectors of different
+    that repeat a vec_id all take part, but a query meets no row of its own id; equal query rows ask once. Vectors of different
     dimensions don't meet. Fewer candidates than k give fewer rows; an empty table gives none.
 
     Vectors are put in order of length and cut into buckets, queries into blocks, both of bounded size and
@@ -115,7 +115,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, bucket: int
     packed = "dim int, part long, longest double, ids binary, data binary"
     placed = materialise(running_totals(clean, order, [], ["dim"]))
     buckets = materialise(placed.withColumn("part", F.expr(f"pos div {bucket}")).groupBy("dim", "part").applyInPandas(pack, packed))
-    queries = running_totals(placed.where("q").drop("pos"), order, [], ["dim"])
+    queries = running_totals(placed.where("q").drop("pos").dropDuplicates(["vec_id", "h"]), order, [], ["dim"])
     blocks = materialise(queries.withColumn("part", F.expr(f"pos div {block}")).groupBy("dim", "part").applyInPandas(pack, packed))
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +156,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, bucket: int
                 _search(best, q_ids, queries, *_unpack(row), focus)
         yield from out()
 
-    pairs = met.withColumn("span", F.expr("part div 64")).join(started.select("dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "theta"), ["dim", "block"]).join(buckets.select("dim", "part", "ids", "data"), ["dim", "part"])
+    pairs = met.withColumn("span", F.expr("part div 4")).join(started.select("dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "theta"), ["dim", "block"]).join(buckets.select("dim", "part", "ids", "data"), ["dim", "part"])
     pairs = pairs.repartition("dim", "block", "span").sortWithinPartitions("dim", "block", "span", "part")
     with batches_of(spark, 4):
         found = materialise(pairs.mapInPandas(rest, "query_id long, vec_id long, score long"))

@@ -323,6 +323,17 @@ def test_sketches_recover_differences(spark):
             assert (i not in found and own == (0, 0, 0, 0)) or tuple(found[i])[1:] == own
 
 
+def test_repeated_ids_lend_one_text(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30) + (" you scumbag" if i % 5 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    more = [(1, rows[1][1] + f" zz {n}") for n in range(400)] + [(1, rows[1][1])] * 300 + [(10, None)]
+    often = once.unionByName(spark.createDataFrame(more, "doc_id long, text string")).repartition(5)
+    a, b = toxicity.train(once, labels), toxicity.train(often, labels)
+    assert len(a.features) and a.features.tolist() == b.features.tolist() and a.weights.tolist() == b.weights.tolist() and a.bias == b.bias
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     rows, marks = [], []

@@ -121,10 +121,10 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
         grouped = lines.where("h1 is not null and h2 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "line_no", "size", "blocks")).alias("e"))
         classes = materialise(grouped.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "e.*"))
         blocks = classes.select("cid", "size", F.explode("blocks").alias("v"))
-        stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("leader"), F.max("cid").alias("z")).where("leader < z").select("v", "leader"))
-        met = materialise(possible(blocks, "v", stars.select("v")).join(stars, "v").select("v", "cid", "size", "leader"))
+        stars = materialise(blocks.groupBy("v").agg(F.min("cid").alias("leader"), F.max("cid").alias("z")).where("leader < z").select("v", "leader"), slim=True)
+        met = materialise(possible(blocks, "v", stars.select("v")).join(stars, "v").select("v", "cid", "size", "leader"), slim=True)
         active = met.select("cid").distinct()
-        first = materialise(possible(classes.select("cid", "doc_id", "th", "line_no"), "cid", active).join(active, "cid").withColumn("key", F.xxhash64("doc_id", "th", "line_no")))
+        first = materialise(possible(classes.select("cid", "doc_id", "th", "line_no"), "cid", active).join(active, "cid").withColumn("key", F.xxhash64("doc_id", "th", "line_no")), slim=True)
         raw = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("key", F.xxhash64("i", "t", "no"))
         raw = possible(raw, "key", first.select("key"))
         found = raw.join(first, "key").where(F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")) & (F.col("no") == F.col("line_no")))
@@ -132,31 +132,35 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
 
         own = met.where("leader = cid").select("v", F.col("size").alias("most"))
         spokes = met.join(own, "v").where(f"leader <> cid and {_sizes('size', 'most', percent)}").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-        tested = materialise(spokes)
+        tested = materialise(spokes, slim=True)
         links = materialise(_verified(tested, texts, percent))
-        groups = materialise(connected_components(links))
+        groups = materialise(connected_components(links), slim=True)
         rest, low, high = met.where("leader <> cid").select("v", "cid", "size"), 0, 4
         while True:
             # What of a block isn't one group goes on; its members keep their places over the rounds.
             named = rest.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("own", F.coalesce("component", "cid")).drop("component")
             mixed = named.groupBy("v").agg(F.min("own").alias("_low"), F.max("own").alias("_high")).where("_low < _high").select("v")
             open_ = named.join(mixed, "v")
-            open_ = materialise(open_ if low else running_totals(open_, [F.col("cid")], [], ["v"]).withColumnRenamed("pos", "place"))
+            open_ = materialise(open_ if low else running_totals(open_, [F.col("cid")], [], ["v"]).withColumnRenamed("pos", "place"), slim=True)
             if open_.isEmpty():
                 break
             x = open_.where(f"place < {high}").select("v", F.col("cid").alias("a"), F.col("own").alias("own_a"), F.col("size").alias("size_a"), F.col("place").alias("at"))
             y = open_.select("v", F.col("cid").alias("b"), F.col("own").alias("own_b"), F.col("size").alias("size_b"), "place")
             pairs = x.join(y, "v").where(f"at < place and own_a <> own_b and {_sizes('size_a', 'size_b', percent)}").select("a", "b").distinct()
-            pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
-            tested = tested.union(pairs)
-            links = materialise(links.union(_verified(pairs, texts, percent)))
-            groups = materialise(connected_components(links))
+            pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), slim=True)
+            if not pairs.isEmpty():
+                tested = tested.union(pairs)
+                ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+                links = materialise(_verified(pairs, possible(texts, "cid", ends), percent))
+                if not links.isEmpty():  # what is connected stays so: each node's link to its component stands for its others
+                    links = links.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+                    groups = materialise(connected_components(links), slim=True)
             rest, low, high = open_.where(f"place >= {high}").drop("own"), high, high + 4 * (high - low)
 
         # A group's first occurrence; other classes keep their own.
         slim = classes.select("cid", "h1", "h2", F.struct("doc_id", "th", "line_no").alias("first"))
         member = groups.withColumnRenamed("node", "cid").join(slim, "cid")
-        merged = materialise(member.join(member.groupBy("component").agg(F.min("first").alias("whole")), "component").select("h1", "h2", "whole"))
+        merged = materialise(member.join(member.groupBy("component").agg(F.min("first").alias("whole")), "component").select("h1", "h2", "whole"), slim=True)
         firsts = slim.select("h1", "h2", "first").join(merged, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("whole", "first").alias("first"))
         return keep(materialise(lines.select("doc_id", "th", "line_no", "h1", "h2").join(firsts, ["h1", "h2"]).where(where != F.col("first")).select("doc_id", "th", "line_no").distinct()))
 

@@ -637,6 +637,23 @@ def test_bitmap_keeps_all_keys(spark):
         assert {r.cid for r in keys.collect()} <= kept and len(kept) <= most
 
 
+def test_few_edges_go_to_few_files(spark):
+    """Each file of a local folder starts processes, which count with their executor's memory."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200, 2)], "a long, b long").repartition(16)
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = common.connected_components(edges)
+        slim = common.materialise(edges.distinct(), rows=100)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got.inputFiles()) == 1 and len(slim.inputFiles()) == 1
+    assert {r.node: r.component for r in got.collect()} == {i: i - i % 2 for i in range(200)}
+
+
 def test_fuzzy_lines(spark):
     rng = random.Random(7)
     base = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300))

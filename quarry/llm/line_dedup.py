@@ -74,22 +74,31 @@ def alike(a: str, b: str, percent: int) -> Column:
     return F.expr(f"{_sizes(f'length({a})', f'length({b})', percent)} and levenshtein({a}, {b}, cast({100 - percent} * {most} div 100 as int)) >= 0")
 
 
+def _once(rows: DataFrame, keep: list[str], columns: dict[str, str]) -> DataFrame:
+    """``keep`` and the columns, each computed once for a row. By ``withColumns``, a later filter moves below them, and
+    the optimiser puts their expressions into it as often as it names them."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*(F.expr(x).alias(c) for c, x in columns.items())))))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose lines are alike.
 
-    Two cheaper steps come before the distance and change no result. Words of lines of equally many words are compared
-    in pairs: the sum of their distances is no less than the distance of the lines. And words that two lines have in
-    common at their ends are left out, but for the innermost, as the distance is that of the rest.
+    Cheaper steps come before the distance and change no result. Words of lines of equally many words are compared
+    in pairs: the sum of their distances is no less than the distance of the lines. Words that two lines have in
+    common at their ends are left out, but for the innermost, as the distance is that of the rest. And as the work
+    grows with the bound, a sixteenth and a fourth of the bound are tried first.
     """
     x, y = (texts.select(F.col("cid").alias(c), F.col("norm").alias(f"n{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b").where(_sizes("length(na)", "length(nb)", percent))
-    both = both.withColumns({"most": F.expr(f"cast({100 - percent} * greatest(length(na), length(nb)) div 100 as int)"), "wa": F.split("na", " "), "wb": F.split("nb", " ")})
-    in_turn = F.expr("if(size(wa) = size(wb) and size(wa) > 3, aggregate(zip_with(wa, wb, (x, y) -> if(x = y, 0, levenshtein(x, y))), 0, (s, d) -> s + d), null)")
-    same = lambda x, y: f"greatest(coalesce(cast(array_position(zip_with({x}, {y}, (x, y) -> x <=> y), false) as int), 1) - 2, 0)"
-    both = both.withColumns({"sure": F.coalesce(in_turn <= F.col("most"), F.lit(False)), "p": F.expr(same("wa", "wb")), "q": F.expr(same("reverse(wa)", "reverse(wb)"))})
-    both = both.withColumn("q", F.expr("greatest(least(q, least(size(wa), size(wb)) - 1 - p), 0)"))
-    rest = lambda x: f"array_join(slice({x}, p + 1, size({x}) - p - q), ' ')"
-    return both.where(F.col("sure") | F.expr(f"levenshtein({rest('wa')}, {rest('wb')}, most) >= 0")).select("a", "b")
+    both = _once(both, ["a", "b"], {"most": f"cast({100 - percent} * greatest(length(na), length(nb)) div 100 as int)", "wa": "split(na, ' ')", "wb": "split(nb, ' ')"})
+    in_turn = "if(size(wa) = size(wb) and size(wa) > 3, aggregate(zip_with(wa, wb, (x, y) -> if(x = y, 0, levenshtein(x, y))), 0, (s, d) -> s + d), null)"
+    both = _once(both, ["a", "b", "most", "wa", "wb"], {"sure": f"coalesce({in_turn} <= most, false)"})
+    same = lambda x, y: f"if(sure, 0, greatest(coalesce(cast(array_position(zip_with({x}, {y}, (x, y) -> x <=> y), false) as int), 1) - 2, 0))"
+    both = _once(both, ["a", "b", "most", "wa", "wb", "sure"], {"p": same("wa", "wb"), "e": same("reverse(wa)", "reverse(wb)")})
+    both = _once(both, ["a", "b", "most", "wa", "wb", "sure", "p"], {"q": "greatest(least(e, least(size(wa), size(wb)) - 1 - p), 0)"})
+    rest = lambda x: f"if(sure, '', array_join(slice({x}, p + 1, size({x}) - p - q), ' '))"
+    both = _once(both, ["a", "b", "most", "sure"], {"ra": rest("wa"), "rb": rest("wb")})
+    return both.where(" or ".join(["sure", *(f"levenshtein(ra, rb, cast(most div {k} as int)) >= 0" for k in (16, 4, 1))])).select("a", "b")
 
 
 def possible(rows: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
@@ -97,9 +106,10 @@ def possible(rows: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> Data
     (2 MB at the most, whatever the number of keys). A fuller bitmap lets more rows through, never fewer."""
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
     maps = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    four = lambda at: f"cast(conv(hex(substring(_bits, cast(8 * i + {at} as int), 4)), 16, 10) as bigint)"
+    maps = maps.select("_bucket", F.expr(f"transform(sequence(0, 511), i -> shiftleft({four(1)}, 32) | {four(5)})").alias("_longs"))
     held = rows.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_at": F.bitmap_bit_position(slot)}).join(F.broadcast(maps), "_bucket")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return held.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).drop("_bucket", "_at", "_bits")
+    return held.where("shiftright(get(_longs, cast(_at div 64 as int)), cast((7 - _at div 8 % 8) * 8 + _at % 8 as int)) & 1L != 0").drop("_bucket", "_at", "_longs")
 
 
 def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> DataFrame:

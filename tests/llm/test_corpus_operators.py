@@ -654,6 +654,27 @@ def test_few_edges_go_to_few_files(spark):
     assert {r.node: r.component for r in got.collect()} == {i: i - i % 2 for i in range(200)}
 
 
+def test_pairs_are_split_once(spark):
+    """A filter on what is made of a pair's words doesn't repeat the making of it, and holds all pairs within the bound."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        n = rng.choice([12, 60, 300])
+        w = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 8))) for _ in range(n)]
+        other = list(w)
+        for _ in range(rng.randint(0, max(2, n // 6))):
+            j = rng.randrange(len(other))
+            other[j : j + 1] = rng.choice([[], ["x"], [other[j], "yy"], [other[j] + "z"]])
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    texts = spark.createDataFrame(rows, "cid long, norm string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(30)], "a long, b long")
+    got = line_dedup._verified(pairs, texts, 90)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    both = pairs.join(texts.toDF("a", "na"), "a").join(texts.toDF("b", "nb"), "b")
+    want = {r.a for r in both.where(line_dedup.alike("na", "nb", 90)).collect()}
+    assert {r.a for r in got.collect()} == want and 0 < len(want) < 30
+
+
 def test_fuzzy_lines(spark):
     rng = random.Random(7)
     base = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300))

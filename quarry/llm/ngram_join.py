@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches_of, connected_components, materialise, running_totals, scratch
+from quarry.llm.common import batches_of, connected_components, materialise, release, running_totals, scratch
+from quarry.llm.line_dedup import possible
 
 PASSES = 4  # over the signatures, a share of them each: so much less room is taken at a time
 BATCH = 256  # rows in an Arrow batch of texts or token sets
@@ -215,19 +216,45 @@ def tree_links(sets: list[np.ndarray], labels: list[int], t: Threshold, sides: l
     return links
 
 
-def _sets(docs: DataFrame, k: int, t: Threshold, sign: bool) -> DataFrame:
-    """(id, h, n, sigs) or (id, h, n, tokens) of (id, h, text)."""
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each residue of the tokens by a power of two near their number: whether an odd number of them has it, as bits."""
+    width = min(WIDEST, 1 << max(6, (len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, h, n, tokens) of (id, h, text)."""
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [shingles(x, k) for x in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "h": frame["h"], "n": [len(x) for x in sets], "tokens": [x.view(np.int64) for x in sets]})
+
+    return docs.mapInPandas(make, "id long, h long, n long, tokens array<long>")
+
+
+def _signed(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """(id, h, n, odd, sigs) of (id, h, text)."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [shingles(x, k) for x in frame["text"]]
-            arrays = [(t.signatures(x) if sign else x).view(np.int64) for x in sets]
-            yield pd.DataFrame({"id": frame["id"], "h": frame["h"], "n": [len(x) for x in sets], "a": arrays})
+            yield pd.DataFrame({"id": frame["id"], "h": frame["h"], "n": [len(x) for x in sets], "odd": [parities(x) for x in sets], "sigs": [t.signatures(x).view(np.int64) for x in sets]})
 
-    return docs.mapInPandas(make, "id long, h long, n long, a array<long>")
+    return docs.mapInPandas(make, "id long, h long, n long, odd array<long>, sigs array<long>")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chunk: int = 500_000) -> DataFrame:
+def _may_link(t: Threshold) -> str:
+    """Whether two sets of na and nb tokens, with parities oa and ob, can link: their sizes allow it, and each
+    residue of different parity costs a token that one set has and the other hasn't. Wider parities are folded."""
+    half = lambda o, at: f"slice({o}, {at}, size({o}) div 2)"
+    folded = lambda o, other: f"if(size({o}) = 2 * size({other}), zip_with({half(o, 1)}, {half(o, f'size({o}) div 2 + 1')}, (u, v) -> u ^ v), {o})"
+    apart = f"aggregate(zip_with({folded('oa', 'ob')}, {folded('ob', 'oa')}, (u, v) -> bit_count(u ^ v)), 0, (s, c) -> s + c)"
+    return f"{t.den} * na >= {t.num} * nb and {t.den} * nb >= {t.num} * na and {t.den + t.num} * coalesce({apart}, 0) <= {t.den - t.num} * (na + nb)"
+
+
+def similar_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chunk: int = 500_000, direct: int = 64) -> DataFrame:
     """(doc_id, h, n_shingles, component_id) for every row of (doc_id, text); h is xxhash64 of the text.
 
     Two documents link when den * intersection >= num * union of their sets of k-word shingles; component_id
@@ -236,12 +263,12 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chun
     links of all their texts. An empty table gives an empty result. Exact for all sizes; there is no cap on
     partners or groups.
 
-    Equal texts are first put under their smallest id. Texts then sign equal parts of their sets (Threshold),
-    so all links lie inside the components of the graph "shares a signature with the signature's least id"; the
-    members of a signature are never paired with each other. Those star edges are verified, which settles
-    groups of copies in linear work. What is left, components with several verified groups, is laid out in
-    chunks of about ``chunk`` tokens; chunks, and pairs of chunks that hold different groups of one component, are
-    joined by signature trees.
+    Equal texts are first put under their smallest id. Texts then sign equal parts of their sets (Threshold), so
+    texts that link share a signature. Each member of a signature is compared with its least id, which settles groups
+    of copies in linear work. What is left are signatures whose members are in several verified groups: all pairs of
+    different groups are compared for those of at most ``direct`` members; the members of others are laid out in chunks
+    of about ``chunk`` tokens, and chunks, and pairs of chunks that hold different groups of one signature, are joined
+    by signature trees. Token sets are only sent to pairs whose sizes and parities allow a link (_may_link).
     """
     t = Threshold(num, den)
     with scratch() as keep, batches_of(docs.sparkSession, BATCH):
@@ -251,32 +278,46 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chun
         least = slim.groupBy("h", "h2").agg(F.min("id").alias("rep"))
         member = materialise(slim.join(least, ["h", "h2"]).select("id", "h", "rep"))
         first = member.where("id = rep").select("id", "h").distinct()
-        signed = materialise(_sets(keyed.join(first, ["id", "h"], "left_semi"), k, t, True))
+        signed = materialise(_signed(keyed.join(first, ["id", "h"], "left_semi"), k, t))
 
-        edges = None
+        met = None
         for share in range(PASSES):
-            signs = signed.select("id", F.explode("a").alias("sig")).where(F.pmod("sig", F.lit(PASSES)) == share)
+            signs = signed.select("id", F.explode("sigs").alias("sig")).where(F.pmod("sig", F.lit(PASSES)) == share)
             stars = signs.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
-            own = materialise(signs.join(stars, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-            edges = own if edges is None else edges.union(own)
-        edges = materialise(edges.distinct())
-        near = materialise(connected_components(edges))  # holds every possible link
-        alive = near.select(F.col("node").alias("id"))
-        sets = materialise(_sets(keyed.join(alive, "id", "left_semi").join(first, ["id", "h"], "left_semi"), k, t, False).withColumnRenamed("a", "tokens"))
-        left, right = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
-        # Sizes are compared before any token set is sent to an edge.
-        size = sets.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        sized = edges.join(size.toDF("a", "la", "ha"), "a").join(size.toDF("b", "lb", "hb"), "b").where(f"{den} * ha >= {num} * lb and {den} * hb >= {num} * la").select("a", "b")
-        inter = F.size(F.array_intersect("ta", "tb"))
-        verified = materialise(sized.join(right, "b").join(left, "a").where(den * inter >= num * (F.col("na") + F.col("nb") - inter)).select("a", "b").distinct())
+            own = materialise(signs.join(stars, "sig").select("sig", "id", "a"))
+            met = own if met is None else met.union(own)
+        sketch = materialise(signed.select("id", "h", "n", "odd"))
+        release(signed)
+        left, right = (sketch.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
+
+        def token_sets(ids: DataFrame) -> DataFrame:
+            alive = materialise(ids.distinct(), slim=True)
+            return materialise(_sets(possible(keyed, "id", alive).join(alive, "id", "left_semi").join(first, ["id", "h"], "left_semi"), k))
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            """Those of the pairs (a, b) that link."""
+            sets = token_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+            x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
+            inter = F.size(F.array_intersect("ta", "tb"))
+            out = materialise(pairs.join(y, "b").join(x, "a").where(den * inter >= num * (F.col("na") + F.col("nb") - inter)).select("a", "b").distinct())
+            release(sets)
+            return out
+
+        edges = met.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+        verified = linked(materialise(edges.join(right, "b").join(left, "a").where(_may_link(t)).select("a", "b").distinct()))
         # Rows of one doc_id that stand under different ids are one node.
         spread = member.groupBy("id").agg(F.min("rep").alias("_a"), F.max("rep").alias("_z")).where("_a < _z").select("id")
         nodes = materialise(member.join(spread, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct())
         groups = materialise(connected_components(verified.union(nodes)))
 
-        named = near.join(groups.withColumnRenamed("component", "label"), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("near"), F.coalesce("label", "node").alias("label"))
-        open_ = named.groupBy("near").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a < _z").select("near")
-        loose = named.join(open_, "near").join(sets.select("id", "n", "h"), "id").withColumn("room", F.col("n") + 64)
+        named = met.select("sig", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
+        mixed = named.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_z"), F.count(F.lit(1)).alias("members")).where("_a < _z").select("sig", "members")
+        open_ = materialise(named.join(mixed, "sig").join(sketch, "id"))
+        x, y = (open_.where(f"members <= {direct}").select("sig", F.col("id").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
+        verified = verified.union(linked(materialise(x.join(y, "sig").where(f"a < b and la <> lb and {_may_link(t)}").select("a", "b").distinct())))
+
+        loose = open_.where(f"members > {direct}").select(F.col("sig").alias("near"), "label", "n", "id", "h").distinct().withColumn("room", F.col("n") + 64)
+        sets = token_sets(loose.select("id"))
         laid = materialise(running_totals(loose, [F.col("near"), F.col("label"), F.col("n"), F.col("id"), F.col("h")], ["room"]).withColumn("chunk", F.expr(f"before_room div {chunk}")))
         parts = laid.groupBy("near", "chunk").agg(F.min("label").alias("la"), F.max("label").alias("lz"), F.min("n").alias("low"), F.max("n").alias("high"))
         last = parts.groupBy("near").agg(F.max("chunk").alias("last"))
@@ -300,7 +341,7 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, chun
 
         joined = materialise(work.groupBy("i", "j").applyInPandas(search, "a long, b long"))
         final = connected_components(verified.union(nodes).union(joined))
-        count = signed.groupBy("id", "h").agg(F.max("n").alias("n_shingles")).withColumnRenamed("id", "rep")
+        count = sketch.groupBy("id", "h").agg(F.max("n").alias("n_shingles")).withColumnRenamed("id", "rep")
         named = member.join(count, (member["rep"] == count["rep"]) & (member["h"] == count["h"]), "left").select(member["id"], member["h"], member["rep"], F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"))
         # An id is a node of its own where its rows stand under several ids, else it stands under its representative.
         homes = named.join(final, F.col("rep") == F.col("node"), "left").drop("node")

@@ -108,6 +108,60 @@ def test_rows_of_one_id_are_one_node(spark):
     assert sorted(r.doc_id for r in ngram_join.one_of_each_group(data, 3, 9, 10).collect()) == [3, 11, 13, 14]
 
 
+def test_token_sets_go_to_pairs_that_may_link(spark, monkeypatch):
+    """A phrase of many documents gives them signatures in common, which alone must not have their sets sent."""
+    rng = random.Random(17)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    phrase = fresh(30)
+    rows = [(i, f"{fresh(40 + i % 7)} {phrase} {fresh(30)}") for i in range(150)]
+    rows += [(1000 + i, t.replace(t.split()[5], "other")) for i, t in rows[:5]]
+    sent = []
+    write = ngram_join.materialise
+
+    def counted(df, *args, **kwargs):
+        out = write(df, *args, **kwargs)
+        if "tokens" in out.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute_groups(rows, 5, 4, 5)
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_groups(data, 5, 4, 5).collect()} == want
+    assert sum(sent) <= 20
+    assert sum(i != c for i, c in want.items()) == 5
+
+
+@pytest.mark.parametrize("direct", [64, 1])
+def test_chains_by_pairs_and_by_trees(spark, direct):
+    rng = random.Random(23)
+    rows = []
+    for n in (12, 40):  # neighbours link, ends of a chain don't
+        w = prose(rng, n).split()
+        for _ in range(20):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(50)}"
+            w += [f"w{rng.randrange(50)}"] * (rng.random() < 0.3)
+            rows.append((len(rows) * 7 % 41, " ".join(w)))
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(data, 3, 4, 5, 2000, direct).collect()}
+    assert got == brute_groups(rows, 3, 4, 5)[0]
+
+
+def test_parities_refute_no_link(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.integers(0, len(a) // 6 + 1) :], rng.integers(0, 2**63, rng.integers(0, len(a) // 6 + 2)).astype(np.uint64)]))
+        rows.append((len(a), len(b), ngram_join.parities(a).tolist(), ngram_join.parities(b).tolist(), len(np.intersect1d(a, b))))
+    data = spark.createDataFrame(rows, "na long, nb long, oa array<long>, ob array<long>, both int")
+    for num, den in ((9, 10), (4, 5), (2, 5)):
+        t = ngram_join.Threshold(num, den)
+        for r in data.withColumn("may", F.expr(ngram_join._may_link(t))).collect():
+            assert r.may or not t.similar(r.both, r.na, r.nb)
+    assert len({len(r[2]) == len(r[3]) for r in rows}) == 2
+
+
 def test_signature_tree_finds_what_all_pairs_find():
     rng = np.random.default_rng(3)
     t = ngram_join.Threshold(7, 10)

@@ -241,3 +241,13 @@ def test_approximate_searches_recall(spark):
         for j, found in enumerate((vector.ivf_search(index, centres, "vec_id", list(m[q]), 10, 13), vector.two_stage(coded, "vec_id", list(m[q]), 10, len(rows) // 3, parts))):
             hits[j] += len(near & {r.vec_id for r in found.collect()})
     assert min(hits) >= 0.9 * 40, hits
+
+
+def test_band_joins_are_not_broadcast(spark):
+    a = spark.range(100).select(F.col("id").alias("l"), (F.col("id") % 10).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    b = a.toDF("r", "x2", "y2")
+    near = spatial.distance_join(a, b, 1.0, "x", "y", "x2", "y2")
+    times = relational.interval_join(a.select(F.col("l").alias("lms")), b.select(F.col("r").alias("rms")), 1, "lms", "rms")
+    for df, n in ((near, 2800), (times, 298)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == n

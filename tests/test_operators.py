@@ -251,3 +251,11 @@ def test_band_joins_are_not_broadcast(spark):
     for df, n in ((near, 2800), (times, 298)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         assert df.count() == n
+
+
+def test_first_and_last_of_one_time(spark):
+    df = spark.createDataFrame([(3, 10, 7.0), (1, 10, 9.0), (2, 10, 8.0), (0, 10, None), (5, 20, 1.0), (4, 20, 2.0)], "id long, ms long, value double").coalesce(1)
+    for order in (df.orderBy("id"), df.orderBy(F.col("id").desc())):
+        assert rows(timeseries.aggregate(order, 100, "first", place="id")) == [(0, 9.0)]
+        assert rows(timeseries.aggregate(order, 100, "last", place="id")) == [(0, 2.0)]
+        assert rows(timeseries.aggregate(order, 100, "first")) == [(0, 7.0)]

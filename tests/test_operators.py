@@ -259,3 +259,15 @@ def test_first_and_last_of_one_time(spark):
         assert rows(timeseries.aggregate(order, 100, "first", place="id")) == [(0, 9.0)]
         assert rows(timeseries.aggregate(order, 100, "last", place="id")) == [(0, 2.0)]
         assert rows(timeseries.aggregate(order, 100, "first")) == [(0, 7.0)]
+
+
+def test_copy_blocks_are_read_one_at_a_time(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"a": [str(i) for i in range(1000)], "b": ["x" * 5000, None] * 500})
+    blocks = list(copy.pack(iter([batch]), 300))
+    assert len(blocks) > 3 and max(b.nbytes for b in blocks) < 2 * copy._BLOCK
+    joined = pa.RecordBatch.from_pydict({"block": [x for b in blocks for x in b.column(0).to_pylist()]})
+    got = list(copy.unpack(iter([joined]), ["a", "b"]))
+    assert [b.num_rows for b in got] == [300, 300, 300, 100]
+    assert [r for b in got for r in b.to_pylist()] == batch.to_pylist()

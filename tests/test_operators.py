@@ -271,3 +271,11 @@ def test_copy_blocks_are_read_one_at_a_time(spark):
     got = list(copy.unpack(iter([joined]), ["a", "b"]))
     assert [b.num_rows for b in got] == [300, 300, 300, 100]
     assert [r for b in got for r in b.to_pylist()] == batch.to_pylist()
+
+
+def test_sample_of_least_hashes(spark):
+    df = spark.range(3000, numPartitions=7).select(F.array(F.when(F.col("id") % 4 == 0, 1.0).otherwise(F.col("id") % 900)).alias("v"))
+    for n in (1, 20, 500, 2900, 5000):
+        got = vector.least_hashed(df, "v", n)
+        assert got.rdd.getNumPartitions() == 1 and got.collect() == df.orderBy(F.xxhash64("v")).limit(n).collect()
+    assert vector.least_hashed(df.limit(0), "v", 5).count() == 0

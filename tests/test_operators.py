@@ -279,3 +279,15 @@ def test_sample_of_least_hashes(spark):
         got = vector.least_hashed(df, "v", n)
         assert got.rdd.getNumPartitions() == 1 and got.collect() == df.orderBy(F.xxhash64("v")).limit(n).collect()
     assert vector.least_hashed(df.limit(0), "v", 5).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_outer", "left_semi", "left_anti"])
+def test_hash_join_deals_a_key_to_many_tasks(spark, how):
+    left = spark.createDataFrame([(k, i) for i in range(40) for k in (1, 1, 2, None)], "k int, a long")
+    right = spark.createDataFrame([(k, i) for i in range(5) for k in (1, 3, None)], "k long, b long")
+    got = relational.hash_join(left, right, ["k"], how)
+    want = left.join(right, ["k"], how)
+    assert got.schema == want.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    if how in ("inner", "right", "full"):
+        assert got.where("k = 1 and b is not null").select(F.spark_partition_id()).distinct().count() > 1

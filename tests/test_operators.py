@@ -261,6 +261,18 @@ def test_first_and_last_of_one_time(spark):
         assert rows(timeseries.aggregate(order, 100, "first")) == [(0, 7.0)]
 
 
+def test_chunks_leave_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(500)), "t": ["some words. " * 1000, *[None, ""], *["word " * 2000] * 497]})
+    for kind, chunker in rag.CHUNKERS.items():
+        got = list(rag.cut(iter([batch]), chunker, {}))
+        sizes = [sum(map(len, b.column(4).to_pylist())) for b in got]
+        assert len(got) > 3 and max(sizes) < 2 * rag._CHARS
+        want = [(k, i, a, b, t[a:b]) for k, t in zip(*batch.to_pydict().values(), strict=True) if t for i, (a, b) in enumerate(chunker(t))]
+        assert [r for b in got for r in zip(*b.to_pydict().values(), strict=True)] == want, kind
+
+
 def test_copy_blocks_are_read_one_at_a_time(spark):
     import pyarrow as pa
 
@@ -273,14 +285,6 @@ def test_copy_blocks_are_read_one_at_a_time(spark):
     assert [r for b in got for r in b.to_pylist()] == batch.to_pylist()
 
 
-def test_sample_of_least_hashes(spark):
-    df = spark.range(3000, numPartitions=7).select(F.array(F.when(F.col("id") % 4 == 0, 1.0).otherwise(F.col("id") % 900)).alias("v"))
-    for n in (1, 20, 500, 2900, 5000):
-        got = vector.least_hashed(df, "v", n)
-        assert got.rdd.getNumPartitions() == 1 and got.collect() == df.orderBy(F.xxhash64("v")).limit(n).collect()
-    assert vector.least_hashed(df.limit(0), "v", 5).count() == 0
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_outer", "left_semi", "left_anti"])
 def test_hash_join_deals_a_key_to_many_tasks(spark, how):
     left = spark.createDataFrame([(k, i) for i in range(40) for k in (1, 1, 2, None)], "k int, a long")
@@ -291,3 +295,11 @@ def test_hash_join_deals_a_key_to_many_tasks(spark, how):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     if how in ("inner", "right", "full"):
         assert got.where("k = 1 and b is not null").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_sample_of_least_hashes(spark):
+    df = spark.range(3000, numPartitions=7).select(F.array(F.when(F.col("id") % 4 == 0, 1.0).otherwise(F.col("id") % 900)).alias("v"))
+    for n in (1, 20, 500, 2900, 5000):
+        got = vector.least_hashed(df, "v", n)
+        assert got.rdd.getNumPartitions() == 1 and got.collect() == df.orderBy(F.xxhash64("v")).limit(n).collect()
+    assert vector.least_hashed(df.limit(0), "v", 5).count() == 0

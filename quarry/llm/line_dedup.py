@@ -22,6 +22,8 @@ GRAM = 6  # characters in a run
 FEW, SOME = 5, 8  # distinct words up to which a line has blocks of runs alone, or of runs and of words
 SHORT, LONG = 16, 24  # distinct words up to which single blocks are enough, and from which two in a row have to agree
 OTHER = r"[^\p{L}\p{M}\p{N}\n]+"
+COUNTED = ("abcdefgh", "ijklmnop", "qrstuvwx", "yz éóèñç")  # characters whose counts make a line's shape, eight to a long
+SHAPE = [f"s{i}" for i in range(len(COUNTED))]
 
 
 def normalised(text: Column) -> Column:
@@ -74,6 +76,24 @@ def alike(a: str, b: str, percent: int) -> Column:
     return F.expr(f"{_sizes(f'length({a})', f'length({b})', percent)} and levenshtein({a}, {b}, cast({100 - percent} * {most} div 100 as int)) >= 0")
 
 
+def with_shape(texts: DataFrame) -> DataFrame:
+    """Add longs ``SHAPE`` to rows with a column ``norm``: counts of 32 characters, eight bits each.
+
+    The bits of counts c and c + 1 differ in one place, and come round after 16, so two counts differ in as many bits
+    as they are apart, or in fewer. An edit changes two counts by one at the most.
+    """
+    codes = ", ".join(f"{(1 << c) - 1 if c <= 8 else 255 - ((1 << c - 8) - 1)}L" for c in range(16))
+    count = lambda c: f"(octet_length(norm) - octet_length(replace(norm, '{c}', ''))) div {len(c.encode())} % 16"
+    code = lambda c, i: f"shiftleft(get(array({codes}), cast({count(c)} as int)), {8 * i})"
+    return texts.withColumns({s: F.expr(" | ".join(code(c, i) for i, c in enumerate(part))) for s, part in zip(SHAPE, COUNTED, strict=True)})
+
+
+def _shapes(a: str, b: str, size_a: str, size_b: str, percent: int) -> str:
+    """Whether two shapes, in columns of these endings, allow an edit similarity of ``percent``."""
+    apart = " + ".join(f"bit_count({s}{a} ^ {s}{b})" for s in SHAPE)
+    return f"{apart} <= 2 * cast({100 - percent} * greatest({size_a}, {size_b}) div 100 as int)"
+
+
 def _once(rows: DataFrame, keep: list[str], columns: dict[str, str]) -> DataFrame:
     """``keep`` and the columns, each computed once for a row. By ``withColumns``, a later filter moves below them, and
     the optimiser puts their expressions into it as often as it names them."""
@@ -120,7 +140,8 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
     rows that repeat doc_id and text are one document. A null text has no lines.
 
     Equal lines collapse in the first grouping, by hashes: texts of lines aren't shuffled, but for those that meet
-    another in a block. Every member of a block is compared with the block's first, which settles groups of near
+    another in a block. Pairs whose lengths or counts of characters rule a match out are left out where they are made;
+    this changes no result. Every member of a block is compared with the block's first, which settles groups of near
     copies in linear work. What of a block isn't one group by then goes on: the next four members meet the rest, then
     sixteen, and so on, until every pair of the block has been compared or is connected.
     """
@@ -138,14 +159,16 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
         raw = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("key", F.xxhash64("i", "t", "no"))
         raw = possible(raw, "key", first.select("key"))
         found = raw.join(first, "key").where(F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")) & (F.col("no") == F.col("line_no")))
-        texts = materialise(found.select("cid", F.trim(normalised(F.col("line"))).alias("norm")).dropDuplicates(["cid"]))
+        texts = materialise(with_shape(found.select("cid", F.trim(normalised(F.col("line"))).alias("norm")).dropDuplicates(["cid"])))
+        # Of the pairs that meet, most are ruled out by sizes and shapes in the join: their texts aren't sent.
+        met = materialise(met.join(texts.select("cid", *SHAPE), "cid"), slim=True)
 
-        own = met.where("leader = cid").select("v", F.col("size").alias("most"))
-        spokes = met.join(own, "v").where(f"leader <> cid and {_sizes('size', 'most', percent)}").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+        own = met.where("leader = cid").select("v", F.col("size").alias("most"), *(F.col(s).alias(f"{s}_a") for s in SHAPE))
+        spokes = met.join(own, "v").where(f"leader <> cid and {_sizes('size', 'most', percent)} and {_shapes('', '_a', 'size', 'most', percent)}").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
         tested = materialise(spokes, slim=True)
         links = materialise(_verified(tested, texts, percent))
         groups = materialise(connected_components(links), slim=True)
-        rest, low, high = met.where("leader <> cid").select("v", "cid", "size"), 0, 4
+        rest, low, high = met.where("leader <> cid").drop("leader"), 0, 4
         while True:
             # What of a block isn't one group goes on; its members keep their places over the rounds.
             named = rest.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("own", F.coalesce("component", "cid")).drop("component")
@@ -154,9 +177,9 @@ def repeated_lines(docs: DataFrame, percent: int = 90, min_chars: int = 40) -> D
             open_ = materialise(open_ if low else running_totals(open_, [F.col("cid")], [], ["v"]).withColumnRenamed("pos", "place"), slim=True)
             if open_.isEmpty():
                 break
-            x = open_.where(f"place < {high}").select("v", F.col("cid").alias("a"), F.col("own").alias("own_a"), F.col("size").alias("size_a"), F.col("place").alias("at"))
-            y = open_.select("v", F.col("cid").alias("b"), F.col("own").alias("own_b"), F.col("size").alias("size_b"), "place")
-            pairs = x.join(y, "v").where(f"at < place and own_a <> own_b and {_sizes('size_a', 'size_b', percent)}").select("a", "b").distinct()
+            x = open_.where(f"place < {high}").select("v", F.col("cid").alias("a"), F.col("own").alias("own_a"), F.col("size").alias("size_a"), F.col("place").alias("at"), *(F.col(s).alias(f"{s}_a") for s in SHAPE))
+            y = open_.select("v", F.col("cid").alias("b"), F.col("own").alias("own_b"), F.col("size").alias("size_b"), "place", *(F.col(s).alias(f"{s}_b") for s in SHAPE))
+            pairs = x.join(y, "v").where(f"at < place and own_a <> own_b and {_sizes('size_a', 'size_b', percent)} and {_shapes('_a', '_b', 'size_a', 'size_b', percent)}").select("a", "b").distinct()
             pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), slim=True)
             if not pairs.isEmpty():
                 tested = tested.union(pairs)

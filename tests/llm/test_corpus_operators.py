@@ -861,3 +861,28 @@ def test_token_chunks_agree_with_the_tokenizer():
     for _ in range(4000):
         text = "".join(rng.choice("aB.,' sé1_-\n\t́Σ²|<>ǅİ") for _ in range(rng.randint(0, 14)))
         assert ids.of(text) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_shapes_rule_out_unlike_pairs_alone(spark, monkeypatch):
+    """Shapes differ in two bits an edit at the most, and few texts of unlike lines of one block are compared."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        a = [rng.choice("abcdefghijklmnopqrstuvwxyz éß1") for _ in range(rng.randint(40, 400))]
+        b, n = list(a), rng.randint(0, 60)
+        for _ in range(n):
+            j = rng.randrange(len(b))
+            b[j : j + 1] = rng.choice([[], ["e"], [b[j], "q"], [b[j], b[j]]])
+        rows.append((i, n, "".join(a), "".join(b)))
+    pairs = spark.createDataFrame(rows, "id int, n int, a string, b string")
+    x, y = (line_dedup.with_shape(pairs.select("id", "n", F.col(c).alias("norm"))) for c in "ab")
+    apart = " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in line_dedup.SHAPE)
+    got = x.alias("x").join(y.alias("y"), "id").select("x.n", F.expr(apart).alias("d")).collect()
+    assert all(r.d <= 2 * r.n for r in got) and sum(r.d for r in got) > sum(r.n for r in got) / 2
+    longer = " ".join("".join(rng.choice("abcdefghij") for _ in range(24)) for _ in range(3))
+    lines = [f"{longer} " + " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(24)) for _ in range(60)]
+    compared, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: (compared.append(pairs.count()), verified(pairs, *rest))[1])
+    data = spark.createDataFrame(list(enumerate([*lines, lines[30] + " ab"])), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(data).collect()} == set(range(60))
+    assert sum(compared) < 200, compared  # of 1,830 pairs
